@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import leakage, survivor, tokenizing
+from ledgerloom.llm import leakage, residue, survivor, tokenizing
 from ledgerloom.plans.tables import table
 
 
@@ -28,5 +28,10 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_consensus": p5_consensus, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are or contain template residue, filler, error or refusal pages, or scripts-required notices."""
+    return residue.residue_documents(table(spark, folder, "documents")).select("doc_id")
+
+
+QUERIES = {"p5_found": p5_found, "p5_consensus": p5_consensus, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
