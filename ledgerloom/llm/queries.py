@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import leakage, residue, survivor, tokenizing
+from ledgerloom.llm import leakage, residue, survivor, tokenizing, variants
 from ledgerloom.plans.tables import table
 
 
@@ -18,6 +18,11 @@ def p5_consensus(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.consensus_names(table(spark, folder, "resolved_supplier_golden"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of spellings that mean the same firm or person."""
+    return variants.variant_pairs(table(spark, folder, "staging_spend"), table(spark, folder, "staging_contracts"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document."""
     return tokenizing.encode_corpus(table(spark, folder, "documents"))
@@ -33,5 +38,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue_documents(table(spark, folder, "documents")).select("doc_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_consensus": p5_consensus, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p5_found": p5_found, "p5_consensus": p5_consensus, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
