@@ -170,6 +170,8 @@ class Vocabulary:
             if long in joined:
                 joined, form = joined.replace(long, " "), short
         parts = joined.split()
+        while len(parts) > 2 and parts[-1].isdigit() and len(parts[-1]) >= 4:
+            parts.pop()
         kept = []
         for k, w in enumerate(parts):
             if (k == 0 and w == "THE") or w == "AND" or (w in TITLES and len(parts) > 2):
@@ -272,7 +274,7 @@ def same_payee(a: Name, b: Name, common: dict[str, int]) -> int:
             return 2
         # one spelling leaves out a word or two, such as a place, but neither its own word nor its trade
         missing = left or right
-        if not (left and right) and shared >= 2 and len(missing) <= 2 and not any(w in GIVEN or len(w) <= 3 for w in missing):
+        if not (left and right) and shared >= 2 and len(missing) <= 2 and not any(w in GIVEN or len(w) < 3 for w in missing):
             kept = [w for w in (b.core if right else a.core) if w not in missing]
             if any(w not in common for w in kept) and any(w in common for w in kept):
                 return 3

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import leakage, residue, survivor, tokenizing, variants
+from ledgerloom.llm import leakage, matching, residue, survivor, tokenizing, variants
 from ledgerloom.plans.tables import table
 
 
+def p2_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Which company each unresolved payee name was, with the confidence."""
+    return matching.company_matches(table(spark, folder, "staging_spend"), table(spark, folder, "resolved_spend"), table(spark, folder, "staging_companies"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The matches of ``p2_matches`` without their confidence."""
+    return p2_matches(spark, folder).select("supplier_name_norm", "company_number")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The surviving name and postcode of each supplier with several records."""
     return survivor.best_records(table(spark, folder, "resolved_supplier_golden"))
@@ -38,5 +48,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue_documents(table(spark, folder, "documents")).select("doc_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_consensus": p5_consensus, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_matches": p2_matches, "p5_found": p5_found, "p5_consensus": p5_consensus, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}
