@@ -55,4 +55,20 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return asof.names_as_known(table(spark, folder, "staging_spend"), table(spark, folder, "resolved_spend"), table(spark, folder, "resolved_company_previous_names"), table(spark, folder, "staging_companies"))
 
 
+_SQUEEZED = "lower(regexp_replace(header_text, '[\\s\ufeff\u00a0\u200b]', '', 'g'))"
+_FIELD = "CASE " + " ".join(f"WHEN {_SQUEEZED} IN ({', '.join(repr(k) for k in keys)}) THEN '{f}'" for f, keys in drift.FIELD_HEADINGS.items()) + " END"
+ORACLES = {
+    "p3_found": f"""WITH cols AS (SELECT source_file, unit_code, period, {_FIELD} AS field, {_SQUEEZED} AS heading FROM raw_spend_headers),
+  files AS (SELECT DISTINCT source_file, unit_code, period FROM raw_spend_headers), fields AS (SELECT unnest(['expense_type_src', 'supplier_postcode_src']) AS field),
+  vals AS (SELECT _source_file AS source_file, 'expense_type_src' AS field, expense_type_src AS v FROM staging_spend UNION ALL SELECT _source_file, 'supplier_postcode_src', supplier_postcode_src FROM staging_spend),
+  kinds AS (SELECT source_file, field, count(*) FILTER (WHERE regexp_full_match(v, '\\s*[+-]?\\d+(\\.\\d+)?\\s*')) * 2 > count(*) AS num FROM vals WHERE trim(v) <> '' GROUP BY 1, 2),
+  f AS (SELECT files.source_file, unit_code, period, fields.field, (SELECT min(heading) FROM cols c WHERE c.source_file = files.source_file AND c.field = fields.field) AS h, num FROM files, fields LEFT JOIN kinds ON kinds.source_file = files.source_file AND kinds.field = fields.field),
+  p AS (SELECT *, lag(h) OVER w AS h0, lag(num) OVER w AS num0, row_number() OVER w AS rn FROM f WINDOW w AS (PARTITION BY unit_code, field ORDER BY period, source_file))
+  SELECT source_file, field, 'added' AS change FROM p WHERE rn > 1 AND h IS NOT NULL AND h0 IS NULL UNION ALL SELECT source_file, field, 'removed' FROM p WHERE rn > 1 AND h IS NULL AND h0 IS NOT NULL
+  UNION ALL SELECT source_file, field, 'renamed' FROM p WHERE rn > 1 AND h <> h0 UNION ALL SELECT source_file, field, 'retyped' FROM p WHERE rn > 1 AND h IS NOT NULL AND h0 IS NOT NULL AND num <> num0""",
+    "p7_found": """WITH v AS (SELECT company_number, greatest(condate, coalesce(recorded_on, condate)) AS ends, first(name ORDER BY k DESC, name) AS name FROM resolved_company_previous_names WHERE condate IS NOT NULL AND name IS NOT NULL GROUP BY 1, 2)
+  SELECT DISTINCT s.spend_id, (SELECT first(v.name ORDER BY v.ends) FROM v WHERE v.company_number = r.company_number AND v.ends > s.payment_date) AS name FROM staging_spend s JOIN resolved_spend r USING (spend_id) LEFT JOIN staging_companies c ON c.company_number = r.company_number
+  WHERE NOT coalesce(s.payment_date < c.incorporation_date, FALSE) AND EXISTS (SELECT 1 FROM v WHERE v.company_number = r.company_number AND v.ends > s.payment_date)""",
+    "p3_failed_casts": """SELECT _source_file AS file, field AS column, 'bigint' AS type, count(*) AS failed, min(v) AS example FROM (SELECT _source_file, 'expense_type_src' AS field, expense_type_src AS v FROM staging_spend UNION ALL SELECT _source_file, 'supplier_postcode_src', supplier_postcode_src FROM staging_spend) WHERE trim(v) <> '' AND NOT regexp_full_match(trim(v), '[+-]?\\d+') GROUP BY 1, 2""",
+}
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_unified": p3_unified, "p3_failed_casts": p3_failed_casts, "p4_found": p4_found, "p4_valid": p4_valid, "p7_found": p7_found}
