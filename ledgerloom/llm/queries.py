@@ -49,4 +49,14 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_matches": p2_matches, "p5_found": p5_found, "p5_consensus": p5_consensus, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
-ORACLES: dict[str, str] = {}
+_WORDS = "string_split(trim(regexp_replace(lower(supplier_name_raw), '[^\\p{L}]+', ' ', 'g')), ' ')"
+_STAND_IN = ", ".join(repr(w) for w in dict.fromkeys(survivor.STAND_IN_WORDS))
+_CODE = "upper(regexp_replace(postcode, '[\\s\u00a0]', '', 'g'))"
+ORACLES: dict[str, str] = {
+    "p5_found": f"""WITH r AS (SELECT DISTINCT supplier_key, supplier_name_raw, rows_n, last_payment, postcode, entity, company_number FROM resolved_supplier_golden WHERE supplier_key IS NOT NULL),
+  real AS (SELECT DISTINCT supplier_name_raw FROM (SELECT supplier_name_raw, unnest({_WORDS}) AS w FROM r) WHERE w <> '' AND w NOT IN ({_STAND_IN}) AND replace(w, w[1], '') <> ''),
+  votes AS (SELECT supplier_key, supplier_name_raw, sum(coalesce(rows_n, 0)) AS v, max(last_payment) AS d FROM r JOIN real USING (supplier_name_raw) GROUP BY 1, 2),
+  names AS (SELECT supplier_key, first(supplier_name_raw ORDER BY v DESC, d DESC NULLS LAST, supplier_name_raw) AS name FROM votes GROUP BY 1),
+  codes AS (SELECT supplier_key, first(c ORDER BY d DESC NULLS LAST, n DESC, c) AS code FROM (SELECT supplier_key, left({_CODE}, -3) || ' ' || right({_CODE}, 3) AS c, last_payment AS d, coalesce(rows_n, 0) AS n FROM r WHERE regexp_full_match({_CODE}, '[A-Z]{{1,2}}[0-9][A-Z0-9]?[0-9][A-Z]{{2}}')) GROUP BY 1)
+  SELECT supplier_key, name AS supplier_name_raw, coalesce(code, '') AS postcode FROM (SELECT supplier_key FROM r GROUP BY 1 HAVING count(*) > 1) LEFT JOIN names USING (supplier_key) LEFT JOIN codes USING (supplier_key)""",
+}
