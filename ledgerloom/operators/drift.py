@@ -106,4 +106,4 @@ def unified_table(headers: DataFrame, rows: DataFrame, file: str = "_source_file
     """Every row with the heading that fed each field: ``rows`` plus ``<field>_heading`` (NULL where the file has none)."""
     fields = file_fields(headers, headings)
     per_file = fields.groupBy(F.col("source_file").alias(file)).agg(*[F.max(F.when(F.col("field") == f, F.col("heading_text"))).alias(f"{f}_heading") for f in headings])
-    return checked_join(rows, per_file, [file], "left")
+    return checked_join(rows.drop(*[f"{f}_heading" for f in headings]), per_file, [file], "left")

@@ -101,8 +101,9 @@ def parse_records(df: DataFrame, record: str = "raw_record") -> DataFrame:
 
     One line end after the record is not part of it; line breaks inside quotes are kept.  A NULL record gives NULL in
     both; an empty one is a single empty field.  Records of any length are read whole.  A byte-order mark at the
-    start is no content.
+    start is no content.  Columns of the input named fields or fault_at are replaced.
     """
+    df = df.drop("fields", "fault_at")
     schema = df.withColumns({"fields": F.array(F.lit("")), "fault_at": F.lit(0)}).schema
     for f in schema.fields:
         f.nullable = True
@@ -170,6 +171,7 @@ def classify_records(df: DataFrame, record: str = "raw_record", file: str = "sou
     its row 0 (the smallest text, if it is repeated); without one, or with an unreadable one, columns can't be counted
     or named and only quoting is judged.  A NULL record is 'column_count'.
     """
+    df = df.drop("fields", "fault_at", "reason")
     parsed = parse_records(df, record)
     keyed = F.transform("fields", lambda h: F.lower(F.regexp_replace(h, r"[\s\u00a0\ufeff]+", "")))
     # F.array_position is 1-based and 0 where absent

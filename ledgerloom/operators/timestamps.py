@@ -173,22 +173,23 @@ def normalise_moments(df: DataFrame, text: str, group: Sequence[str], arrival: s
     Texts that fix their moment keep it.  A stated region is applied as it is.  Other clock times and spreadsheet
     numbers take the history chosen for their group.  NULL, blank or unreadable texts, days without a time, impossible
     days and clock times that never occurred give NULL; repeated rows stay repeated; an empty table stays empty; columns
-    of other names are untouched.  A group whose key is NULL is a group of its own.
+    of other names are untouched, those named utc_micros or zone_used are replaced.  A group whose key is NULL is a group of its own.
     """
     zones = [prior, *[z for z in candidates if z != prior]]
-    parsed = parse_moments(df, text)
     keys = [f"_g{i}" for i in range(len(group))]
-    parsed = parsed.select("*", *[F.coalesce(F.col(g).cast("string"), F.lit("\u0000")).alias(k) for g, k in zip(group, keys, strict=True)])
-    chosen = choose_zones(zone_violations(parsed, keys, arrival, zones), zones, least_gain).where(F.col("zone") != prior).select(*keys, "zone")
+    # the row travels as one struct, so that no helper column can clash with one of its own
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"), F.col(f"`{arrival}`").alias("_arrival"), *[F.coalesce(F.col(f"`{g}`").cast("string"), F.lit("\u0000")).alias(k) for g, k in zip(group, keys, strict=True)])
+    parsed = parse_moments(held, "_text")
+    chosen = choose_zones(zone_violations(parsed, keys, "_arrival", zones), zones, least_gain).where(F.col("zone") != prior).select(*keys, F.col("zone").alias("_zone"))
     exceptions = chosen.limit(bound + 1).collect()
     if not exceptions:
-        parsed = parsed.withColumn("zone", F.lit(prior))
+        parsed = parsed.withColumn("_zone", F.lit(prior))
     elif len(exceptions) <= bound:
-        parsed = parsed.join(F.broadcast(df.sparkSession.createDataFrame(exceptions, chosen.schema)), keys, "left").fillna({"zone": prior})
+        parsed = parsed.join(F.broadcast(df.sparkSession.createDataFrame(exceptions, chosen.schema)), keys, "left").fillna({"_zone": prior})
     else:
-        parsed = checked_join(parsed, chosen, keys, "left", bound=bound).fillna({"zone": prior})
-    zone = F.coalesce(F.col("_region"), F.col("zone"))
+        parsed = checked_join(parsed, chosen, keys, "left", bound=bound).fillna({"_zone": prior})
+    zone = F.coalesce(F.col("_region"), F.col("_zone"))
     needs = F.col("_kind").isin("clock", "sheet") & F.col("_instant").isNull()
     utc = F.when(needs, local_to_utc(F.col("_local"), zone)).otherwise(F.col("_instant"))
-    out = parsed.select(*[F.col(f"`{c}`") for c in df.columns], utc.alias("utc_micros"), F.when(needs, zone).alias("zone_used"))
-    return fence(out, ["utc_micros", "zone_used"])
+    out = fence(parsed.select("_row", utc.alias("utc_micros"), F.when(needs, zone).alias("zone_used")), ["utc_micros", "zone_used"])
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns if c not in ("utc_micros", "zone_used")], "utc_micros", "zone_used")
