@@ -59,6 +59,16 @@ def pivot_distances(texts: list[str], pivots: list[str]) -> np.ndarray:
     return out
 
 
+def runs(texts: list[str], pivot: int, cells: int = 12_000_000) -> list[list[str]]:
+    """Texts sorted by length in runs whose distance tables hold at most ``cells`` numbers, so one long text costs no memory for the others."""
+    out: list[list[str]] = []
+    for t in sorted(texts, key=len):
+        if not out or len(out[-1]) >= 4_096 or (len(out[-1]) + 1) * (len(t) + 2) * (pivot + 2) > cells:
+            out.append([])
+        out[-1].append(t)
+    return out
+
+
 def block_pairs(home: list[str], dh: np.ndarray, other: list[str], do: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Index pairs (home, other) within ``radius``, by pivot filter and then the metric itself."""
     found = []
@@ -98,10 +108,11 @@ def near_pairs(texts: DataFrame, radius: int = 1) -> DataFrame:
     count = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(total) // 8), total)
     pivots = [r[0] for r in distinct.orderBy(F.xxhash64("text"), "text").limit(count).collect()]
 
+    longest = max(map(len, pivots))
+
     def place(batches):
         for batch in batches:
-            for low in range(0, batch.num_rows, 4_096):
-                part = batch.column(0).slice(low, 4_096).to_pylist()
+            for part in runs(batch.column(0).to_pylist(), longest):
                 d = pivot_distances(part, pivots)
                 home = d.argmin(axis=1)
                 least = d.min(axis=1).astype(np.int16)

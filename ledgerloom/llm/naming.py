@@ -281,7 +281,7 @@ def same_payee(a: Name, b: Name, common: dict[str, int]) -> int:
     if a.cut or b.cut:
         for short, long in ((a, b), (b, a)):
             one, other = "".join(short.core), "".join(long.core)
-            if short.cut and len(one) >= 8 and (other.startswith(one[:-1]) or (len(one) >= 10 and damerau(one, other[: len(one)], 2) <= 1)):
+            if short.cut and len(one) >= 8 and (other.startswith(one[:-1]) or (10 <= len(one) <= 60 and damerau(one, other[: len(one)], 2) <= 1)):
                 return 1
             if short.cut and len(short.core) > 1 and _cut_words(short.core, long.core):
                 return 1
@@ -306,7 +306,7 @@ def _slip(w: str, v: str, common: dict[str, int]) -> int:
     least, most = min(len(w), len(v)), max(len(w), len(v))
     if least >= 4 and within_one(w, v):
         return 1
-    if least >= 8 and damerau(w, v, 2) <= 2:
+    if 8 <= least and most <= 60 and damerau(w, v, 2) <= 2:
         return 2
     if least <= 9 and ((v in common and shortens(w, v)) or (w in common and shortens(v, w))):
         return 1

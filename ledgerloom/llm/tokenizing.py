@@ -26,20 +26,20 @@ CACHED_WORDS = 400_000
 # Fixed value: the vocabulary's cut into words.
 WORD_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-# The recursion keeps every step of a word, so the last one is told by its step number.
+# The recursion keeps every step of a word; the last one is told by its step number.
 _MERGE = """
 WITH RECURSIVE state(word, pos, tok, step) AS (
     SELECT word, pos, tok, 0 FROM start
   UNION ALL
     (WITH paired AS (SELECT word, pos, tok, step, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM state),
       ranked AS (SELECT p.word, p.pos, p.tok, p.step, m.id FROM paired p LEFT JOIN merges m ON p.tok = m.l AND p.nxt = m.r),
-      least AS (SELECT word, pos, tok, step, best, coalesce(id = best, FALSE) AS hit FROM (SELECT *, min(id) OVER (PARTITION BY word) AS best FROM ranked) WHERE best IS NOT NULL),
+      least AS (SELECT word, pos, tok, step, best, coalesce(id = best, FALSE) AS hit FROM (SELECT *, min(id) OVER (PARTITION BY word) AS best FROM ranked) WHERE best IS NOT NULL AND step < $most),
       runs AS (SELECT *, pos - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS run FROM least),
       taken AS (SELECT *, hit AND row_number() OVER (PARTITION BY word, hit, run ORDER BY pos) % 2 = 1 AS takes FROM runs),
       eaten AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY word ORDER BY pos), FALSE) AS gone FROM taken)
     SELECT word, (row_number() OVER (PARTITION BY word ORDER BY pos))::INTEGER, CASE WHEN takes THEN best ELSE tok END, step + 1 FROM eaten WHERE NOT gone)
 )
-SELECT word, list(tok ORDER BY pos) AS ids
+SELECT word, list(tok ORDER BY pos) AS ids, any_value(last) AS last
 FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state) WHERE step = last GROUP BY word
 """
 
@@ -87,15 +87,21 @@ class WordMerger:
                 part.append(new[at])
                 size += len(new[at])
                 at += 1
-            raw = [w.encode() for w in part]
-            owner = list(chain.from_iterable([k] * len(b) for k, b in enumerate(raw)))
-            place = list(chain.from_iterable(range(1, len(b) + 1) for b in raw))
-            token = [self.byte_ids[x] for b in raw for x in b]
-            start = pa.table({"word": pa.array(owner, pa.int32()), "pos": pa.array(place, pa.int32()), "tok": pa.array(token, pa.int32())})
-            self.db.register("start", start)
-            for k, ids in self.db.sql(_MERGE).fetchall():
-                self.known[part[k]] = ids
-            self.db.unregister("start")
+            state = {k: [self.byte_ids[x] for x in w.encode()] for k, w in enumerate(part)}
+            while state:
+                # steps of one query are bounded, as it keeps them all; words that need more go on from where it ended
+                most = max(4, 3_000_000 // max(1, sum(map(len, state.values()))))
+                rows = [(k, p, t) for k, ids in state.items() for p, t in enumerate(ids, 1)]
+                words, places, tokens = zip(*rows, strict=True) if rows else ((), (), ())
+                self.db.register("start", pa.table({"word": pa.array(words, pa.int32()), "pos": pa.array(places, pa.int32()), "tok": pa.array(tokens, pa.int32())}))
+                done = self.db.execute(_MERGE, {"most": most}).fetchall()
+                self.db.unregister("start")
+                state = {}
+                for k, ids, last in done:
+                    if last < most:
+                        self.known[part[k]] = ids
+                    else:
+                        state[k] = ids
 
 
 def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", ranks_file: str | None = None) -> DataFrame:
