@@ -25,6 +25,8 @@ NICKNAMES = {
     "LIZ": "ELIZABETH", "BETH": "ELIZABETH", "BETTY": "ELIZABETH", "ELIZA": "ELIZABETH", "LIZZIE": "ELIZABETH", "MAGGIE": "MARGARET", "MEG": "MARGARET", "PEGGY": "MARGARET", "MARGE": "MARGARET", "RITA": "MARGARET", "SUE": "SUSAN", "SUSIE": "SUSAN", "SUZY": "SUSAN", "KATE": "KATHERINE", "KATHY": "KATHERINE", "CATH": "CATHERINE", "CATHY": "CATHERINE", "KATIE": "KATHERINE",
     "JEN": "JENNIFER", "JENNY": "JENNIFER", "DEB": "DEBORAH", "DEBBIE": "DEBORAH", "DEBS": "DEBORAH", "ALEX": "ALEXANDRA", "SANDRA": "ALEXANDRA", "LEXI": "ALEXANDRA", "BECKY": "REBECCA", "VICKY": "VICTORIA", "TORI": "VICTORIA", "VIC": "VICTORIA", "CHRISSIE": "CHRISTINE", "TINA": "CHRISTINE", "BARB": "BARBARA", "BABS": "BARBARA", "MANDY": "AMANDA", "JO": "JOANNA", "SALLY": "SARAH", "SADIE": "SARAH", "NELL": "HELEN", "NELLIE": "HELEN", "FRANK": "FRANCIS", "FRANKIE": "FRANCIS", "FRAN": "FRANCIS", "HARRY": "HENRY", "HAL": "HENRY",
 }
+# Nicknames of more than one name.
+SHARED_NICKNAMES = {"CHRIS": ("CHRISTOPHER", "CHRISTINE"), "CHRISSIE": ("CHRISTINE",), "PAT": ("PATRICIA", "PATRICK"), "ALEX": ("ALEXANDRA", "ALEXANDER"), "SANDY": ("ALEXANDRA", "ALEXANDER"), "SAM": ("SAMUEL", "SAMANTHA"), "FRAN": ("FRANCIS", "FRANCES"), "STEPH": ("STEPHANIE", "STEPHEN"), "NICKY": ("NICHOLAS", "NICOLA"), "TERRY": ("TERENCE", "TERESA"), "KIT": ("CHRISTOPHER", "KATHERINE"), "JO": ("JOANNA", "JOSEPH"), "KATE": ("KATHERINE", "CATHERINE"), "KATIE": ("KATHERINE", "CATHERINE"), "KATHY": ("KATHERINE", "CATHERINE"), "TONI": ("ANTONIA", "ANTHONY")}
 _FIGURES = str.maketrans("013458", "OIEASB")
 
 _TRADING = re.compile(r"\b(?:T\s*[/\\]\s*A|TRADING\s+AS)\b.*$", re.S)
@@ -176,7 +178,7 @@ class Vocabulary:
         for k, w in enumerate(parts):
             if (k == 0 and w == "THE") or w == "AND" or (w in TITLES and len(parts) > 2):
                 continue
-            if 0 < k < len(parts) - 1 and 3 <= len(w) <= 4 and w not in self.counts and within_one(w, "AND"):
+            if 0 < k < len(parts) - 1 and (3 if len(parts) < 4 or parts[0] in TITLES else 2) <= len(w) <= 4 and w not in self.counts and within_one(w, "AND"):
                 continue
             if w in LEGAL_FORMS and k:
                 form = form or LEGAL_FORMS[w]
@@ -208,7 +210,7 @@ def is_person(name: Name, common: dict[str, int]) -> bool:
 
 
 # Given names, formal ones and the nicknames above.
-GIVEN = set(NICKNAMES) | set(NICKNAMES.values()) | set(
+GIVEN = set(NICKNAMES) | set(NICKNAMES.values()) | set(SHARED_NICKNAMES) | {n for names in SHARED_NICKNAMES.values() for n in names} | set(
     "ALAN ALICE AMY ANNA ANNE ANGELA BARRY BRIAN CAROL CAROLINE CLAIRE COLIN DAVID DEREK DIANE DOROTHY EILEEN EMMA ERIC EVE FIONA FRANCES GARY GEORGE GERALD GORDON GRACE GRAHAM HAROLD HELEN HENRY HUGH IAN JANE JANET JEAN JOAN JOHN JOYCE JUDITH JULIE KAREN KEITH KEVIN LAURA LINDA LOUISE MALCOLM MARIA MARK MARTIN MARY MAUREEN NEIL NIGEL NORMAN OLIVER PAMELA PAUL PAULINE PETER RACHEL RAYMOND ROGER ROSE RUTH SARAH SHARON SHEILA SIMON STUART SUSAN TERESA TERENCE VALERIE WENDY".split()
 )
 
@@ -220,12 +222,13 @@ def vague(name: Name) -> bool:
 
 def given_matches(a: list[str], b: list[str]) -> tuple[bool, bool]:
     """(compatible, sure) for the given names and initials of two spellings of a person."""
-    full = lambda ws: {NICKNAMES.get(w, w) for w in ws if w in GIVEN}
+    formal = lambda w: SHARED_NICKNAMES.get(w) or (NICKNAMES.get(w, w),)
+    full = lambda ws: {n for w in ws if w in GIVEN for n in formal(w)}
     letters = lambda ws: "".join(w if w not in GIVEN and len(w) <= 2 else w[0] for w in ws)
     fa, fb = full(a), full(b)
     if fa and fb:
         return (bool(fa & fb), True)
-    firsts = lambda ws: {w[0] for w in ws} | {NICKNAMES.get(w, w)[0] for w in ws}
+    firsts = lambda ws: {w[0] for w in ws} | {n[0] for w in ws for n in formal(w)}
     if fa or fb:
         short, long = (b, a) if fa else (a, b)
         return (letters(short)[:1] in firsts([w for w in long if w in GIVEN]), False)
