@@ -64,3 +64,9 @@ def test_workbook_roles(spark):
     assert len(got) == len(rows)
     assert [got["w", k][0] for k in range(1, 14)] == ["out_of_scope_section", "section_total", "transaction", "transaction", "section_total", "section_header", *["reconciliation"] * 5, "annex_duplicate", "section_total"]
     assert got["w", 12][1] is True and [got["t", k][0] for k in (1, 2, 3)] == ["transaction", "transaction", "file_total"] and got["l", 4][0] == "trailing_artefact" and got["l", 2][0] == "transaction"
+
+
+def test_running_count_over_blocks(spark):
+    df = spark.range(200).select((F.col("id") % 3).cast("string").alias("f"), "id", (F.col("id") % 7 == 0).alias("hit"))
+    got = {(r["f"], r["id"]): r["n"] for r in row_roles.running_count(df, F.col("hit"), "f", "id", "n", block=16).collect()}
+    assert got == {(str(k % 3), k): sum(1 for j in range(k) if j % 3 == k % 3 and j % 7 == 0) for k in range(200)}
