@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,7 +180,8 @@ def normalise_moments(df: DataFrame, text: str, group: Sequence[str], arrival: s
     keys = [f"_g{i}" for i in range(len(group))]
     # the row travels as one struct, so that no helper column can clash with one of its own
     held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"), F.col(f"`{arrival}`").alias("_arrival"), *[F.coalesce(F.col(f"`{g}`").cast("string"), F.lit("\u0000")).alias(k) for g, k in zip(group, keys, strict=True)])
-    parsed = parse_moments(held, "_text")
+    # read twice, parsed once
+    parsed = parse_moments(held, "_text").persist(StorageLevel.MEMORY_AND_DISK)
     chosen = choose_zones(zone_violations(parsed, keys, "_arrival", zones), zones, least_gain).where(F.col("zone") != prior).select(*keys, F.col("zone").alias("_zone"))
     exceptions = chosen.limit(bound + 1).collect()
     if not exceptions:
