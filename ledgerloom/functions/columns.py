@@ -122,3 +122,14 @@ def surrogate_key(*parts: Column, separator: str = "|") -> Column:
 def non_blank_fields(*fields: Column) -> Column:
     """How many fields hold more than blanks."""
     return F.size(F.filter(F.array(*[f.cast("string") for f in fields]), lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""))
+
+
+def classify(value: Column, classes: dict[str, str], default: str | None = None) -> Column:
+    """The class of an exact value; without a default an unknown value is NULL, so that a slip shows instead of hiding."""
+    out = F.try_element_at(F.create_map(*[F.lit(x) for kv in classes.items() for x in kv]), value)
+    return out if default is None else F.coalesce(out, F.lit(default))
+
+
+def redaction_safe(name: Column, label: str = "[name not shown]") -> Column:
+    """A payee name only where it is itself a redaction text, else a label."""
+    return F.when(is_redacted(name), name).otherwise(label)
