@@ -69,6 +69,8 @@ ORACLES = {
     "p7_found": """WITH v AS (SELECT company_number, greatest(condate, coalesce(recorded_on, condate)) AS ends, first(name ORDER BY k DESC, name) AS name FROM resolved_company_previous_names WHERE condate IS NOT NULL AND name IS NOT NULL GROUP BY 1, 2)
   SELECT DISTINCT s.spend_id, (SELECT first(v.name ORDER BY v.ends) FROM v WHERE v.company_number = r.company_number AND v.ends > s.payment_date) AS name FROM staging_spend s JOIN resolved_spend r USING (spend_id) LEFT JOIN staging_companies c ON c.company_number = r.company_number
   WHERE NOT coalesce(s.payment_date < c.incorporation_date, FALSE) AND EXISTS (SELECT 1 FROM v WHERE v.company_number = r.company_number AND v.ends > s.payment_date)""",
+    "p3_unified": f"""SELECT s.spend_id, s._source_file, s.expense_type_src, s.supplier_postcode_src, try_cast(nullif(trim(s.expense_type_src), '') AS BIGINT) AS expense_type_src_typed, h.e AS expense_type_src_heading, h.p AS supplier_postcode_src_heading FROM staging_spend s LEFT JOIN (
+    SELECT source_file, arg_min(header_text, col_pos) FILTER (WHERE {_FIELD} = 'expense_type_src') AS e, arg_min(header_text, col_pos) FILTER (WHERE {_FIELD} = 'supplier_postcode_src') AS p FROM raw_spend_headers GROUP BY 1) h ON h.source_file = s._source_file""",
     "p3_failed_casts": """SELECT _source_file AS file, field AS column, 'bigint' AS type, count(*) AS failed, min(v) AS example FROM (SELECT _source_file, 'expense_type_src' AS field, expense_type_src AS v FROM staging_spend UNION ALL SELECT _source_file, 'supplier_postcode_src', supplier_postcode_src FROM staging_spend) WHERE trim(v) <> '' AND NOT regexp_full_match(trim(v), '[+-]?\\d+') GROUP BY 1, 2""",
 }
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_unified": p3_unified, "p3_failed_casts": p3_failed_casts, "p4_found": p4_found, "p4_valid": p4_valid, "p7_found": p7_found}
