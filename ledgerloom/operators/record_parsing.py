@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.columns import canon_company_number, parse_date
 from ledgerloom.operators.skew import checked_join, fence, let
 from ledgerloom.operators.timestamps import LONG_MONTHS, MONTHS
 
@@ -164,14 +165,14 @@ CHECKS = {
 
 
 def classify_records(df: DataFrame, record: str = "raw_record", file: str = "source_file", row: str = "row_num") -> DataFrame:
-    """The records after each file's header with ``fields``, ``reason`` (NULL for a valid record) and ``fault_at``.
+    """The records after each file's header with ``fields``, ``fault_at``, ``checked`` (the texts of the checked columns) and ``reason`` (NULL for a valid record).
 
     reason is the first that holds: 'quoting', 'column_count' (another number of fields than the file's header), or
     'bad_value' (a checked column whose value fails its test; an empty value of such a column fails).  A file's header is
     its row 0 (the smallest text, if it is repeated); without one, or with an unreadable one, columns can't be counted
     or named and only quoting is judged.  A NULL record is 'column_count'.
     """
-    df = df.drop("fields", "fault_at", "reason")
+    df = df.drop("fields", "fault_at", "checked", "reason")
     parsed = parse_records(df, record)
     keyed = F.transform("fields", lambda h: F.lower(F.regexp_replace(h, r"[\s\u00a0\ufeff]+", "")))
     # F.array_position is 1-based and 0 where absent
@@ -188,4 +189,14 @@ def classify_records(df: DataFrame, record: str = "raw_record", file: str = "sou
         .when(F.col("fields").isNull() | F.coalesce((F.col("_width") > 0) & (F.size("fields") != F.col("_width")), F.lit(False)), "column_count")
         .when(bad, "bad_value")
     )
-    return fence(lines.withColumn("reason", reason).select(*df.columns, "fields", "fault_at", "reason"), ["reason"])
+    checked = F.struct(*[F.when(F.col(f"_at_{kind}") > 0, F.try_element_at("fields", F.col(f"_at_{kind}"))).alias(kind) for kind in CHECKS])
+    return fence(lines.select(*df.columns, "fields", "fault_at", checked.alias("checked"), reason.alias("reason")), ["reason"])
+
+
+def typed_records(classified: DataFrame) -> DataFrame:
+    """The valid records with their checked columns typed: ``company_number``, ``day`` and ``amount``, NULL where a file has no such column."""
+    number = F.upper(F.regexp_replace("checked.number", r"[\s\u00a0]", ""))
+    bare = F.regexp_replace("checked.amount", r"[\s\u00a0,£]", "")
+    amount = F.regexp_replace(bare, r"[()-]", "").try_cast("decimal(18,2)") * F.when(bare.rlike(r"^\(|-"), -1).otherwise(1)
+    typed = [canon_company_number(number).alias("company_number"), parse_date(F.regexp_replace("checked.date", r"^[\s\u00a0]+|[\s\u00a0]+$", "")).alias("day"), amount.cast("decimal(18,2)").alias("amount")]
+    return classified.where("reason IS NULL").drop("fault_at", "reason", "company_number", "day", "amount").select("*", *typed).drop("checked")

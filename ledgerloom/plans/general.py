@@ -45,9 +45,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_records(spark, folder).where("reason IS NOT NULL").select("source_file", "row_num", "reason")
 
 
+def p4_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """The records with misplaced quotation marks and the byte offset of the first."""
+    return p4_records(spark, folder).where("fault_at IS NOT NULL").select("source_file", "row_num", "fault_at")
+
+
 def p4_valid(spark: SparkSession, folder: str) -> DataFrame:
-    """The valid records with their fields."""
-    return p4_records(spark, folder).where("reason IS NULL").select("source_file", "row_num", F.to_json("fields").alias("fields"))
+    """The valid records, their checked columns typed, with all fields."""
+    return record_parsing.typed_records(p4_records(spark, folder)).select("source_file", "row_num", "company_number", "day", "amount", F.to_json("fields").alias("fields"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,4 +78,4 @@ ORACLES = {
     SELECT source_file, arg_min(header_text, col_pos) FILTER (WHERE {_FIELD} = 'expense_type_src') AS e, arg_min(header_text, col_pos) FILTER (WHERE {_FIELD} = 'supplier_postcode_src') AS p FROM raw_spend_headers GROUP BY 1) h ON h.source_file = s._source_file""",
     "p3_failed_casts": """SELECT _source_file AS file, field AS column, 'bigint' AS type, count(*) AS failed, min(v) AS example FROM (SELECT _source_file, 'expense_type_src' AS field, expense_type_src AS v FROM staging_spend UNION ALL SELECT _source_file, 'supplier_postcode_src', supplier_postcode_src FROM staging_spend) WHERE trim(v) <> '' AND NOT regexp_full_match(trim(v), '[+-]?\\d+') GROUP BY 1, 2""",
 }
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_unified": p3_unified, "p3_failed_casts": p3_failed_casts, "p4_found": p4_found, "p4_valid": p4_valid, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_unified": p3_unified, "p3_failed_casts": p3_failed_casts, "p4_found": p4_found, "p4_faults": p4_faults, "p4_valid": p4_valid, "p7_found": p7_found}

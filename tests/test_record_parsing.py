@@ -76,6 +76,8 @@ def test_reasons(spark):
     assert got == {("f", 1): None, ("f", 2): "quoting", ("f", 3): "column_count", ("f", 4): "bad_value", ("f", 5): "bad_value", ("f", 6): None, ("f", 7): "quoting", ("f", 8): "column_count", ("f", 9): "column_count",
                    ("g", 1): None, ("g", 2): None, ("g", 3): "bad_value", ("g", 4): "bad_value", ("g", 5): "bad_value", ("g", 6): None, ("g", 7): "bad_value", ("h", 1): None, (None, 2): None}
     assert rp.classify_records(df.limit(0)).count() == 0
+    typed = {(r["source_file"], r["row_num"]): (r["company_number"], str(r["day"]), None if r["amount"] is None else str(r["amount"])) for r in rp.typed_records(rp.classify_records(df)).collect()}
+    assert typed[("f", 6)] == ("SC000123", "2024-02-29", None) and typed[("g", 1)] == (None, "2024-01-01", "1234.50") and typed[("g", 2)][2] == "-12.50" and typed[("g", 6)][2] == "-5.00" and len(typed) == 7
 
 
 def test_long_records():
