@@ -257,7 +257,7 @@ def same_payee(a: Name, b: Name, common: dict[str, int]) -> int:
     if not left and not right:
         return 2
     edits = 0
-    if left and right and within_one("".join(left), "".join(right)):
+    if left and right and _run_together(left, right):
         left, right, edits = [], [], 1
     for w in list(left):
         best = None
@@ -273,7 +273,7 @@ def same_payee(a: Name, b: Name, common: dict[str, int]) -> int:
     if edits <= (1 if size < 9 else 2 if size < 16 else 3):
         if not left and not right:
             return 2
-        if left and right and within_one("".join(left), "".join(right)):
+        if left and right and _run_together(left, right):
             return 2
         # one spelling leaves out a word or two, such as a place, but neither its own word nor its trade
         missing = left or right
@@ -291,6 +291,12 @@ def same_payee(a: Name, b: Name, common: dict[str, int]) -> int:
     return 0
 
 
+def _run_together(left: list[str], right: list[str]) -> bool:
+    """Whether words written as one are the same but for one slip, an AND caught up in them aside."""
+    a, b = "".join(left), "".join(right)
+    return within_one(a, b) or (("AND" in a) != ("AND" in b) and min(len(a), len(b)) >= 5 and within_one(a.replace("AND", "", 1), b.replace("AND", "", 1)))
+
+
 def _cut_words(short: tuple[str, ...], long: tuple[str, ...]) -> bool:
     """Whether the words of a cut spelling, the last by its start, are words of the other in any order."""
     rest = list(long)
