@@ -62,7 +62,17 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 _SQUEEZED = "lower(regexp_replace(header_text, '[\\s\ufeff\u00a0\u200b]', '', 'g'))"
 _FIELD = "CASE " + " ".join(f"WHEN {_SQUEEZED} IN ({', '.join(repr(k) for k in keys)}) THEN '{f}'" for f, keys in drift.FIELD_HEADINGS.items()) + " END"
+_FIELDS = """WITH r AS (SELECT source_file, row_num, regexp_replace(raw_record, '\\r?\\n$', '') AS rec FROM raw_companies_house UNION ALL SELECT source_file, row_num, regexp_replace(raw_record, '\\r?\\n$', '') FROM raw_spend_lines),
+  h AS (SELECT source_file, string_split(lower(regexp_replace(min(rec), '[\\s\u00a0\ufeff]', '', 'g')), ',') AS keys FROM r WHERE row_num = 0 GROUP BY 1),
+  i AS (SELECT source_file, len(keys) AS width, coalesce(list_position(keys, 'companynumber'), 0) AS n, coalesce(nullif(list_position(keys, 'incorporationdate'), 0), nullif(list_position(keys, 'paymentdate'), 0), nullif(list_position(keys, 'date'), 0), nullif(list_position(keys, 'datepaid'), 0), 0) AS d,
+    coalesce(nullif(list_position(keys, 'amount'), 0), nullif(list_position(keys, 'netamount'), 0), nullif(list_position(keys, '£'), 0), 0) AS a FROM h),
+  f AS (SELECT source_file, row_num, regexp_full_match(rec, '(?s)("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*') AS fits, regexp_extract_all(',' || rec, '(?s),("(?:[^"]|"")*"|[^",]*)', 1) AS cells FROM r WHERE row_num > 0),
+  v AS (SELECT *, trim(trim(cells[n], '"')) AS num, trim(trim(cells[d], '"')) AS day, regexp_replace(trim(cells[a], '"'), '[\\s,£]', '', 'g') AS amt FROM f LEFT JOIN i USING (source_file)),
+  j AS (SELECT source_file, row_num, CASE WHEN NOT fits THEN 'quoting' WHEN len(cells) <> width THEN 'column_count'
+    WHEN (n > 0 AND NOT coalesce((regexp_full_match(num, '[0-9]{1,8}') AND NOT regexp_full_match(num, '0+')) OR regexp_full_match(upper(num), '[A-Z]{2}[0-9]{1,6}'), FALSE)) OR (d > 0 AND try_strptime(day, ['%d/%m/%Y', '%d-%b-%y', '%d-%b-%Y']) IS NULL)
+      OR (a > 0 AND NOT coalesce(regexp_full_match(amt, '-?\\d+(\\.\\d*)?|\\(-?\\d+(\\.\\d*)?\\)'), FALSE)) THEN 'bad_value' END AS reason FROM v)"""
 ORACLES = {
+    "p4_found": _FIELDS + " SELECT source_file, row_num, reason FROM j WHERE reason IS NOT NULL",
     "p3_found": f"""WITH cols AS (SELECT source_file, unit_code, period, {_FIELD} AS field, {_SQUEEZED} AS heading FROM raw_spend_headers),
   files AS (SELECT DISTINCT source_file, unit_code, period FROM raw_spend_headers), fields AS (SELECT unnest(['expense_type_src', 'supplier_postcode_src']) AS field),
   vals AS (SELECT _source_file AS source_file, 'expense_type_src' AS field, expense_type_src AS v FROM staging_spend UNION ALL SELECT _source_file, 'supplier_postcode_src', supplier_postcode_src FROM staging_spend),
