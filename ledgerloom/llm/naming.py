@@ -73,6 +73,11 @@ def within_one(a: str, b: str) -> bool:
     return x[1:] == y if n > m else y[1:] == x
 
 
+def shorter_by_one(word: str) -> set[str]:
+    """``word`` and what is left of it without one letter; words within one edit have one of these in common."""
+    return {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))}
+
+
 def damerau(a: str, b: str, cap: int = 9) -> int:
     """Edit distance with swaps of neighbouring letters counted once (the unrestricted, metric form)."""
     if a == b:
@@ -135,6 +140,13 @@ class Vocabulary:
             if len(w) >= 4 and n >= strong and w not in GIVEN:
                 self.by_first.setdefault(w[0], []).append(w)
         self.known: dict[str, str] = {}
+        self.taken: dict[str, tuple[str, ...]] = {}
+        self.near: dict[str, list[str]] = {}
+        self.longer: dict[str, list[str]] = {}
+        for w in counts:
+            self.longer.setdefault(w[0], []).append(w)
+            for v in shorter_by_one(w):
+                self.near.setdefault(v, []).append(w)
 
     def resolve(self, word: str) -> str:
         """The very common word that ``word`` shortens or misspells; itself, if there is none or more than one fits as well."""
@@ -163,6 +175,28 @@ class Vocabulary:
                 return found[0]
         return word
 
+    def within_one(self, word: str) -> set[str]:
+        """The common words within one edit of ``word``, itself among them if it is common."""
+        return {w for v in shorter_by_one(word) for w in self.near.get(v, ()) if within_one(w, word)}
+
+    def stands_for(self, word: str) -> tuple[str, ...]:
+        """The common words that a word can be taken for: itself, those within one edit and those it shortens.
+
+        A common word of over three letters is only itself; a word of under four letters also stands for itself if it isn't common.
+        """
+        if word not in self.taken:
+            if len(self.taken) > 500_000:
+                self.taken.clear()
+            found = {word} if word in self.counts or len(word) < 4 else set()
+            if word not in self.counts or len(word) < 4:
+                least = 4 if len(word) >= 4 else 3
+                found |= {w for w in self.within_one(word) if len(w) >= least and len(word) >= 3}
+                if len(word) <= 9:
+                    found |= {w for w in self.longer.get(word[0], ()) if shortens(word, w)}
+                found |= {w for w in (word + "AND", "AND" + word, word.removesuffix("AND"), word.removeprefix("AND")) if w in self.counts}
+            self.taken[word] = tuple(sorted(found))
+        return self.taken[word]
+
     def parse(self, text: str, resolve: bool = True) -> Name:
         folded = fold(text)
         parts = words(folded)
@@ -209,6 +243,31 @@ def is_person(name: Name, common: dict[str, int]) -> bool:
     return sum(w in GIVEN or len(w) <= 2 for w in name.core) >= 1 and sum(w not in GIVEN and len(w) > 2 for w in name.core) == 1
 
 
+def composite_keys(name: Name, vocabulary: Vocabulary) -> tuple[list[str], list[str]]:
+    """Keys of a spelling that its distinctive words don't bring together with another: (keys, keys that only cut spellings meet).
+
+    Every two words as the common words that they stand for; a person's surname with the initials; a cut spelling's whole
+    words with the beginning of its last.  A spelling whose distinctive words are neither common words' slips nor short forms
+    needs none, as another spelling of the payee has one of them too.
+    """
+    core = name.core
+    taken = [vocabulary.stands_for(w) for w in core]
+    own = [t for w, t in zip(core, taken, strict=True) if len(w) >= 4 and w not in vocabulary.counts]
+    keys, begun = set(), set()
+    if not own or name.cut or any(own):
+        keys |= {"&".join(sorted((x, y))) for j in range(len(core)) for i in range(j) for x in taken[i] for y in taken[j]}
+    if name.cut:
+        keys |= {f"{x}&&{core[-1][:4]}" for t in taken[:-1] for x in t}
+    if not own:
+        begun = {f"{x}&&{v[:n]}" for i, t in enumerate(taken) for x in t for j, v in enumerate(core) if i != j for n in range(1, min(4, len(v)) + 1)}
+    if is_person(name, vocabulary.counts):
+        surname = next(w for w in core if w not in GIVEN and len(w) > 2)
+        given = [w for w in core if w in GIVEN or len(w) <= 2]
+        firsts = {f[0] for w in given for f in (w, *(SHARED_NICKNAMES.get(w) or (NICKNAMES.get(w, w),)))}
+        keys |= {f"{s}&&&{f}" for s in vocabulary.within_one(surname) | (shorter_by_one(surname) if len(surname) <= 4 else set()) for f in firsts}
+    return sorted(keys), sorted(begun - keys)
+
+
 # Given names, formal ones and the nicknames above.
 GIVEN = set(NICKNAMES) | set(NICKNAMES.values()) | set(SHARED_NICKNAMES) | {n for names in SHARED_NICKNAMES.values() for n in names} | set(
     "ALAN ALICE AMY ANNA ANNE ANGELA BARRY BRIAN CAROL CAROLINE CLAIRE COLIN DAVID DEREK DIANE DOROTHY EILEEN EMMA ERIC EVE FIONA FRANCES GARY GEORGE GERALD GORDON GRACE GRAHAM HAROLD HELEN HENRY HUGH IAN JANE JANET JEAN JOAN JOHN JOYCE JUDITH JULIE KAREN KEITH KEVIN LAURA LINDA LOUISE MALCOLM MARIA MARK MARTIN MARY MAUREEN NEIL NIGEL NORMAN OLIVER PAMELA PAUL PAULINE PETER RACHEL RAYMOND ROGER ROSE RUTH SARAH SHARON SHEILA SIMON STUART SUSAN TERESA TERENCE VALERIE WENDY".split()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.metric import near_pairs
-from ledgerloom.llm.naming import LEGAL_FORMS, Name, Vocabulary, fold, same_payee, vague, words
+from ledgerloom.llm.naming import LEGAL_FORMS, Name, Vocabulary, composite_keys, fold, same_payee, vague, words
 from ledgerloom.llm.survivor import tidy_postcode
 from ledgerloom.operators.components import components, cut
 
@@ -58,11 +58,11 @@ def vocabulary(names: DataFrame, column: str = "name") -> tuple[dict[str, int],
     return {w: n for w, n in found if len(w) > 1 and w not in skip}, max(LEAST_STRONG, total // STRONG_SHARE)
 
 
-_PARSED = "key string, core array<string>, form string, cut boolean, rare array<string>"
+_PARSED = "key string, core array<string>, form string, cut boolean, rare array<string>, twos array<string>, begun array<string>"
 
 
 def parsed(names: DataFrame, common: dict[str, int], strong: int, column: str = "name") -> DataFrame:
-    """``names`` with the parts of each: class key, core words, legal form, whether cut off, and distinctive words."""
+    """``names`` with the parts of each: class key, core words, legal form, whether cut off, distinctive words and composite keys."""
     held = names.sparkSession.sparkContext.broadcast((common, strong))
     at = names.columns.index(column)
 
@@ -74,8 +74,9 @@ def parsed(names: DataFrame, common: dict[str, int], strong: int, column: str =
             for r in rows:
                 own = [w for w in r.core if len(w) >= 4 and w not in vocabulary.counts]
                 rare.append(sorted(set(own)) or [" ".join(sorted(r.core))])
-            columns = [pa.array([r.key for r in rows]), pa.array([list(r.core) for r in rows], pa.list_(pa.string())), pa.array([r.form for r in rows]), pa.array([r.cut for r in rows]), pa.array(rare, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "key", "core", "form", "cut", "rare"])
+            more = [composite_keys(r, vocabulary) for r in rows]
+            columns = [pa.array([r.key for r in rows]), pa.array([list(r.core) for r in rows], pa.list_(pa.string())), pa.array([r.form for r in rows]), pa.array([r.cut for r in rows]), pa.array(rare, pa.list_(pa.string())), *[pa.array([m[k] for m in more], pa.list_(pa.string())) for k in (0, 1)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "key", "core", "form", "cut", "rare", "twos", "begun"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names.schema)
     return names.mapInArrow(run, f"{kinds}, {_PARSED}")
@@ -84,9 +85,13 @@ def parsed(names: DataFrame, common: dict[str, int], strong: int, column: str =
 def entry_words(classes: DataFrame) -> DataFrame:
     """(key, word, single, ...): what a class is found by: its distinctive words of at most ``FREQUENT`` classes, else its rarest.
 
-    Rows with ``single`` false hold two neighbouring words written as one, and beginnings of long words that hardly any
-    class has; they meet only single words equal to them.
+    Composite keys, told by their ``&``, are rows beside these.  Rows with ``single`` false hold two neighbouring words
+    written as one, beginnings of long words that hardly any class has, and the keys that only cut names meet; they meet only
+    single words equal to them.
     """
+    held = classes
+    classes = held.drop("twos", "begun")
+    composite = lambda column, single: held.withColumn("word", F.explode(column)).drop("rare", "twos", "begun").withColumn("single", F.lit(single))
     long = classes.withColumn("word", F.explode("rare")).drop("rare")
     often = long.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
     ranked = long.join(often, "word").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("often", "word")))
@@ -96,7 +101,12 @@ def entry_words(classes: DataFrame) -> DataFrame:
     cut_words = ranked.where((F.col("often") <= 2) & (F.length("word") >= LONG_WORD)).withColumn("word", F.explode(starts)).drop("often", "rank").withColumn("single", F.lit(False))
     twos = F.transform(F.sequence(F.lit(1), F.size("core") - 1), lambda k: F.concat(F.element_at("core", k), F.element_at("core", k + 1)))
     wide = classes.where(F.size("core") >= 2).withColumn("word", F.explode(F.array_distinct(twos))).drop("rare").withColumn("single", F.lit(False))
-    return single.unionByName(wide.where(F.length("word") >= 8)).unionByName(cut_words)
+    return single.unionByName(wide.where(F.length("word") >= 8)).unionByName(cut_words).unionByName(composite("twos", True)).unionByName(composite("begun", False))
+
+
+def near_words(entries: DataFrame) -> DataFrame:
+    """(a, b): the near pairs among the distinctive words of ``entries``; composite keys only meet equal ones."""
+    return near_pairs(entries.where("single AND length(word) >= 4 AND NOT contains(word, '&')").select(F.col("word").alias("text")), 1)
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, near: DataFrame) -> DataFrame:
@@ -168,11 +178,11 @@ def name_clusters(names: DataFrame) -> DataFrame:
     names = names.persist(StorageLevel.MEMORY_AND_DISK)
     common, strong = vocabulary(names)
     rows = cut(parsed(names, common, strong))
-    first = F.max(F.struct("lines", "name", "core", "form", "cut", "rare")).alias("_f")
+    first = F.max(F.struct("lines", "name", "core", "form", "cut", "rare", "twos", "begun")).alias("_f")
     code = F.max(F.when(F.col("code").isNotNull(), F.struct("code_lines", "code"))).alias("_c")
-    classes = rows.groupBy("key").agg(first, code).select("key", "_f.core", "_f.form", "_f.cut", "_f.rare", F.col("_c.code").alias("code"), F.coalesce("_c.code_lines", F.lit(0)).alias("code_lines"))
+    classes = rows.groupBy("key").agg(first, code).select("key", "_f.core", "_f.form", "_f.cut", "_f.rare", "_f.twos", "_f.begun", F.col("_c.code").alias("code"), F.coalesce("_c.code_lines", F.lit(0)).alias("code_lines"))
     entries = cut(entry_words(classes))
-    near = cut(near_pairs(entries.where("single").select(F.col("word").alias("text")).where(F.length("text") >= 4), 1))
+    near = cut(near_words(entries))
     pairs = candidate_pairs(entries, entries, near).where("a_key <> b_key").select(*[F.when(F.col("a_key") < F.col("b_key"), F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}") for x, y in ("ab", "ba") for c in ("key", "core", "form", "cut", "code", "code_lines")]).dropDuplicates(["a_key", "b_key"])
     groups = settle(judged(pairs, common))
     return rows.select("name", "key").join(groups.withColumnRenamed("node", "key"), "key", "left").select("name", F.coalesce("component", "key").alias("cluster"))
