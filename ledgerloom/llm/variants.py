@@ -13,20 +13,21 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.metric import near_pairs
 from ledgerloom.llm.naming import LEGAL_FORMS, Name, Vocabulary, composite_keys, fold, same_payee, vague, words
 from ledgerloom.llm.survivor import tidy_postcode
 from ledgerloom.operators.components import components, cut
+from ledgerloom.operators.skew import checked_join, spread
 
 #: A word is common if at least one spelling in so many holds it (and ``LEAST_COMMON`` do); there are at most some ten thousand of them.
 COMMON_SHARE, LEAST_COMMON = 1500, 25
 #: A short form or slip is resolved to a word that one spelling in so many holds.
 STRONG_SHARE, LEAST_STRONG = 200, 30
-#: Words of more classes than this bring classes together only where a class has no rarer word.
-FREQUENT = 300
+#: Rows of one word that a task joins; a word of more is dealt over blocks that meet pair by pair.
+BLOCK = 300
 #: Words of so many letters may be two run together; the first has at least so many.
 LONG_WORD, SHORTEST_START = 11, 5
 
@@ -83,7 +84,7 @@ def parsed(names: DataFrame, common: dict[str, int], strong: int, column: str =
 
 
 def entry_words(classes: DataFrame) -> DataFrame:
-    """(key, word, single, ...): what a class is found by: its distinctive words of at most ``FREQUENT`` classes, else its rarest.
+    """(key, word, single, ...): what a class is found by: all its distinctive words.
 
     Composite keys, told by their ``&``, are rows beside these.  Rows with ``single`` false hold two neighbouring words
     written as one, beginnings of long words that hardly any class has, and the keys that only cut names meet; they meet only
@@ -94,11 +95,11 @@ def entry_words(classes: DataFrame) -> DataFrame:
     composite = lambda column, single: held.withColumn("word", F.explode(column)).drop("rare", "twos", "begun").withColumn("single", F.lit(single))
     long = classes.withColumn("word", F.explode("rare")).drop("rare")
     often = long.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
-    ranked = long.join(often, "word").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("often", "word")))
-    single = ranked.where((F.col("often") <= FREQUENT) | (F.col("rank") == 1)).drop("often", "rank").withColumn("single", F.lit(True))
+    counted = long.join(often, "word")
+    single = long.withColumn("single", F.lit(True))
     # a long word of hardly any class may be two words run together with a slip; the first of them is one of its beginnings
     starts = F.transform(F.sequence(F.lit(SHORTEST_START), F.length("word") - 4), lambda n: F.substr(F.col("word"), F.lit(1), n))
-    cut_words = ranked.where((F.col("often") <= 2) & (F.length("word") >= LONG_WORD)).withColumn("word", F.explode(starts)).drop("often", "rank").withColumn("single", F.lit(False))
+    cut_words = counted.where((F.col("often") <= 2) & (F.length("word") >= LONG_WORD)).withColumn("word", F.explode(starts)).drop("often").withColumn("single", F.lit(False))
     twos = F.transform(F.sequence(F.lit(1), F.size("core") - 1), lambda k: F.concat(F.element_at("core", k), F.element_at("core", k + 1)))
     wide = classes.where(F.size("core") >= 2).withColumn("word", F.explode(F.array_distinct(twos))).drop("rare").withColumn("single", F.lit(False))
     return single.unionByName(wide.where(F.length("word") >= 8)).unionByName(cut_words).unionByName(composite("twos", True)).unionByName(composite("begun", False))
@@ -109,13 +110,27 @@ def near_words(entries: DataFrame) -> DataFrame:
     return near_pairs(entries.where("single AND length(word) >= 4 AND NOT contains(word, '&')").select(F.col("word").alias("text")), 1)
 
 
+def dealt(entries: DataFrame) -> DataFrame:
+    """``entries`` with the number of blocks of their word and their own block (parts, part); reads ``entries`` several times."""
+    sizes = entries.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK)
+    hot = sizes.select("word", F.ceil(F.col("_n") / F.lit(BLOCK)).cast("int").alias("parts"))
+    return checked_join(entries, hot, ["word"], "left").fillna({"parts": 1}).withColumn("part", spread(F.col(entries.columns[0]), F.col("parts")))
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, near: DataFrame) -> DataFrame:
-    """Rows of ``left`` and ``right`` (columns prefixed a_ and b_) whose words are equal or a near pair."""
+    """Rows of ``left`` and ``right`` (columns prefixed a_ and b_), both of one ``dealt`` table, whose words are equal or a near pair.
+
+    No word is too frequent: the blocks of a word of many rows form a grid, each cell of which is joined by itself.
+    """
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hot = right.where("parts > 1").select(F.col("word").alias("b"), F.col("parts").alias("_parts")).distinct()
+    both = checked_join(both, hot, ["b"], "left").fillna({"_parts": 1}).withColumn("_block", every("_parts")).drop("_parts")
     a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns])
     b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns])
-    equal = a.join(b, F.col("a_word") == F.col("b_word")).where("a_single OR b_single")
-    close = a.where("a_single").join(both, F.col("a_word") == both["a"]).join(b.where("b_single"), both["b"] == F.col("b_word")).drop("a", "b")
+    rows, columns = a.withColumn("_column", every("a_parts")), b.withColumn("_row", every("b_parts"))
+    equal = rows.join(columns, (F.col("a_word") == F.col("b_word")) & (F.col("a_part") == F.col("_row")) & (F.col("_column") == F.col("b_part"))).where("a_single OR b_single").drop("_row", "_column")
+    close = a.where("a_single").join(both, F.col("a_word") == both["a"]).join(b.where("b_single"), (F.col("b") == F.col("b_word")) & (F.col("_block") == F.col("b_part"))).drop("a", "b", "_block")
     return equal.unionByName(close)
 
 
@@ -181,7 +196,7 @@ def name_clusters(names: DataFrame) -> DataFrame:
     first = F.max(F.struct("lines", "name", "core", "form", "cut", "rare", "twos", "begun")).alias("_f")
     code = F.max(F.when(F.col("code").isNotNull(), F.struct("code_lines", "code"))).alias("_c")
     classes = rows.groupBy("key").agg(first, code).select("key", "_f.core", "_f.form", "_f.cut", "_f.rare", "_f.twos", "_f.begun", F.col("_c.code").alias("code"), F.coalesce("_c.code_lines", F.lit(0)).alias("code_lines"))
-    entries = cut(entry_words(classes))
+    entries = dealt(cut(entry_words(classes)))
     near = cut(near_words(entries))
     pairs = candidate_pairs(entries, entries, near).where("a_key <> b_key").select(*[F.when(F.col("a_key") < F.col("b_key"), F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}") for x, y in ("ab", "ba") for c in ("key", "core", "form", "cut", "code", "code_lines")]).dropDuplicates(["a_key", "b_key"])
     groups = settle(judged(pairs, common))

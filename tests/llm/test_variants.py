@@ -70,3 +70,15 @@ def test_spellings_of_common_words_meet(spark, monkeypatch):
     want = {tuple(sorted(p)) for g in groups for p in itertools.combinations(g, 2)}
     ours = {t for g in groups for t in g}
     assert {p for p in got if ours & set(p)} == want
+
+
+def test_frequent_words_join_in_blocks(spark, monkeypatch):
+    # KORBAL stands in more classes than a block holds, and every class that has it also has a rarer word
+    monkeypatch.setattr(variants, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(variants, "FREQUENT", 7, raising=False)
+    core = {str(k): ["KORBAL", f"Z{chr(65 + k) * 4}"] for k in range(20)} | {"near": ["KORBAN"]}
+    classes = spark.createDataFrame([(k, c, "", False, c, [], []) for k, c in core.items()], "key string, core array<string>, form string, cut boolean, rare array<string>, twos array<string>, begun array<string>")
+    entries = getattr(variants, "dealt", lambda d: d)(variants.entry_words(classes))
+    near = spark.createDataFrame([("KORBAL", "KORBAN")], "a string, b string")
+    got = [(r["a_key"], r["b_key"]) for r in variants.candidate_pairs(entries, entries, near).where("a_key <> b_key").select("a_key", "b_key").collect()]
+    assert sorted(got) == sorted(itertools.permutations(core, 2))
