@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.operators.drift import heading_key
 
-#: Columns that a file may have at most.
+#: Columns that are read at first; if a record has more, the files are read with as many as it has.
 WIDEST = 120
 LINEAGE = ("_source_file", "_source_url", "_retrieved_at", "_period", "_row_num")
 _WINDOWS = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")}
@@ -42,15 +42,22 @@ def records(spark: SparkSession, paths: Sequence[str], widest: int = WIDEST) ->
     """(source_file, row_num, cells): every record of every file with its place in the file; the header is row 0.
 
     Quoted line breaks stay inside their record, so a file is read by one task; files are read side by side.  A wholly
-    blank line is no record.  Missing cells at a record's end are left off.
+    blank line is no record.  Missing cells at a record's end are left off.  No cell is cut: ``widest`` is only the width tried first.
     """
-    schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(widest)])
     parts = []
     for encoding in sorted(set((by := encodings(spark, paths)).values())):
         files = [p for p, e in by.items() if e == encoding]
         # Spark reads Latin-1 but not Windows-1252; the two differ in 27 characters, which are put right afterwards
-        df = spark.read.schema(schema).option("encoding", "UTF-8" if encoding == "UTF-8" else "ISO-8859-1").option("multiLine", True).option("header", False).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(files)
-        cells = F.array(*[F.col(f"c{k}") if encoding == "UTF-8" else F.translate(f"c{k}", *_LATIN_TO_WINDOWS) for k in range(widest)])
+        width, df = widest, None
+        while df is None:
+            schema = T.StructType([*[T.StructField(f"c{k}", T.StringType()) for k in range(width)], T.StructField("_over", T.StringType())])
+            df = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_over").option("columnPruning", False).option("maxColumns", max(20_480, 2 * width)).option("encoding", "UTF-8" if encoding == "UTF-8" else "ISO-8859-1").option("multiLine", True).option("header", False).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(files)
+            # _over holds the text of records of another width; their cells are told by the commas outside of quoted fields
+            bare = F.regexp_replace("_over", r'(^|,)"(?:[^"]++|"")*+("|$)', "$1")
+            most = df.select("c0", (F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1).alias("n")).agg(F.max("n"), F.count("c0")).first()[0] or 0
+            if most > width:
+                width, df = most, None
+        cells = F.array(*[F.col(f"c{k}") if encoding == "UTF-8" else F.translate(f"c{k}", *_LATIN_TO_WINDOWS) for k in range(width)])
         used = F.array_max(F.transform(cells, lambda x, k: F.when(x.isNotNull(), k + 1).otherwise(0)))
         parts.append(df.select(F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("_id"), F.slice(cells, 1, F.greatest(used, F.lit(1))).alias("cells")))
     if not parts:

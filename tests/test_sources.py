@@ -69,3 +69,12 @@ def test_arrivals(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("totals").agg(F.sum("lines")).first()[0] == 5
+
+
+def test_cells_beyond_the_first_width_stay(spark, tmp_path):
+    p = tmp_path / "wide.csv"
+    p.write_text("a,b\n" + ",".join(map(str, range(130))) + ',,"x,""y",,z\n"1,2,3",4\n')
+    got = {r["row_num"]: r["cells"] for r in S.records(spark, [str(p)]).collect()}
+    assert got == {0: ["a", "b"], 1: [*map(str, range(130)), None, 'x,"y', None, "z"], 2: ["1,2,3", "4"]}
+    landed = S.land(spark, [str(p)], HEADINGS)
+    assert ("wide.csv", "data under no heading", "1") in {tuple(r) for r in landed.problems.collect()}
