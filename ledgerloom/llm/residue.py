@@ -1,9 +1,9 @@
 """Template residue, filler, error pages and scripts-required notices in documents.
 
-A naive Bayes model over passages is learnt from positive and unlabelled data: passages that hold a trusted phrase are
-positive, all others unlabelled, and expectation-maximisation re-estimates the word weights and the share of residue
-among the unlabelled.  The passages of each document are then scored, an exact check settles what the score can't (a text that speaks
-of an error page is no error page), and a record is residue if one of its passages is.
+A naive Bayes model over passages is learnt from positive and unlabelled data.  Passages with a trusted placeholder, failed
+value, error or notice are the positives; all others are unlabelled, start as no residue and are re-estimated by
+expectation-maximisation.  The last model alone decides: a passage is as bad as its worst stretch of words, and a record is
+residue if one of its passages is.  Trusted phrases only label passages for the fit; they neither find nor excuse a document.
 
 Passages are counted once per distinct wording before the model is fitted; its weights are held in a fixed number
 of hashed cells, so what the driver gathers doesn't grow with the corpus.
@@ -13,234 +13,298 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hashed cells of the model; the driver holds two numbers for each.
-CELLS = 1 << 16
-ROUNDS = 3
-#: Least probability of residue that the model must give; low, as the exact check follows and short messages offer few words.
-THRESHOLD = 0.01
-#: A passage without any trusted phrase is filler if it has so many words, so large a share of them weighs at least so much for residue in the model of trusted passages alone, and its stretch odds there are at least so high.
-FILLER_WORDS, FILLER_SHARE, FILLER_WEIGHT, FILLER_ODDS = 10, 0.8, 2.0, 3.0
+CELL_BITS = 18
+CELLS = 1 << CELL_BITS
+ROUNDS = 6
+#: Log odds from which a passage is residue: more likely than not.
+LEAST_ODDS = 0.0
 #: Words of a passage that are scored together; a passage is as bad as its worst stretch.
 STRETCH = 8
+#: Evidence, in counts, that a cell must outweigh to move away from the share of residue at large.
+SHRINK = 30.0
+
+#: Distinct tokens that a task remembers between batches; when more have come up it starts anew.
+KNOWN_TOKENS = 1_000_000
+#: Characters that are read into arrays at once; a longer text is one piece.
+PIECE = 2_000_000
 
 _NAME = r"[A-Za-z][\w .\-]{0,40}?"
-# Unfilled placeholders by the marks around a field's name.
+# Unfilled placeholders by the marks around a field's name, and the form of unfilled days; each with a text that every match holds.
 PLACEHOLDERS = (
-    r"\{\{\s*" + _NAME + r"\s*\}\}", r"\$\{\s*" + _NAME + r"\s*\}", r"<<\s*" + _NAME + r"\s*>>", r"<%=?\s*" + _NAME + r"\s*%>", r"\{%\s*" + _NAME + r"\s*%\}", r"\[\[\s*" + _NAME + r"\s*\]\]",
-    r"@@\s*" + _NAME + r"\s*@@", r"«\s*" + _NAME + r"\s*»", r"__[A-Za-z][A-Za-z0-9_. ]*?__", r"(?<![\w%])%[A-Za-z][A-Za-z_. ]{1,30}%(?!\w)", r"(?<![\w#])#[A-Za-z][A-Za-z_. ]{1,30}#(?!\w)",
-    r"(?<![\w$])\$[A-Za-z][A-Za-z_ ]{1,30}\$(?!\w)", r"(?<![\w$])\$[a-z]+_[a-z_]+\b", r"\[\s*(?:INSERT|Insert|insert|ENTER|Enter|enter)\b[^\]]{0,40}\]", r"\[(?:[A-Za-z]+_[A-Za-z_]+|[Yy]our [a-z ]{2,30})\]",
-    r"(?<!\$)(?<!\{)\{[A-Za-z][A-Za-z_. ]{1,30}\}(?!\})", r"(?<!\[)\[(?!sic\b)[A-Za-z]{3,}(?:[ .][A-Za-z]+){0,2}\](?!\])", r"[(<](?:enter|insert|ENTER|INSERT|Enter|Insert) [A-Za-z_. ]{2,30}[)>]", r"<[A-Za-z_. ]{2,30} here>",
-    r"\bDD/MM/YYYY\b", r"£0,000\.00", r"\bNAME OF SUPPLIER\b", r"\bX{3,}(?: X{3,})+\b", r"\bX{4,} to be completed\b",
-)
-# Texts that a form or template shows until somebody fills it in, and filler.
-FILLER = (
-    r"\blorem ipsum\b", r"\basdf\b", r"\bqwer(?:ty)?\b", r"\bclick here to enter text\b", r"\bchoose an item\.", r"^(?:- )?text goes here\b", r"\bcontent coming soon\b", r"\btype your \w+ in this box\b",
-    r"\badd a short description of .{2,40} in this space\b", r"\bplaceholder (?:paragraph|text) - ", r"\bleft (?:empty|blank) by the template\b", r"\bpage title \| site name\b",
+    ("{", r"\{\{\s*" + _NAME + r"\s*\}\}"), ("$", r"\$\{\s*" + _NAME + r"\s*\}"), ("<", r"<<\s*" + _NAME + r"\s*>>"), ("<", r"<%=?\s*" + _NAME + r"\s*%>"), ("{", r"\{%\s*" + _NAME + r"\s*%\}"), ("[", r"\[\[\s*" + _NAME + r"\s*\]\]"),
+    ("@", r"@@\s*" + _NAME + r"\s*@@"), ("«", r"«\s*" + _NAME + r"\s*»"), ("_", r"__[A-Za-z][A-Za-z0-9_. ]*?__"), ("%", r"(?<![\w%])%[A-Za-z][A-Za-z_.]{1,30}%(?!\w)"), ("#", r"(?<![\w#])#[A-Za-z][A-Za-z_.]{1,30}#(?!\w)"),
+    ("$", r"(?<![\w$])\$[A-Za-z][A-Za-z_]{1,30}\$(?!\w)"), ("[", r"\[\s*(?:INSERT|Insert|insert|ENTER|Enter|enter)\b[^\]]{0,40}\]"), ("[", r"\[(?:[A-Za-z]+_[A-Za-z_]+|[Yy]our [a-z ]{2,30})\]"),
+    ("(", r"\((?:enter|insert|ENTER|INSERT|Enter|Insert) [A-Za-z_. ]{2,30}\)"), ("<", r"<(?:enter|insert|ENTER|INSERT|Enter|Insert) [A-Za-z_. ]{2,30}>"), ("<", r"<[A-Za-z_. ]{2,30} here>"), ("YYYY", r"\bDD/MM/YYYY\b"), ("XXX", r"\bX{3,}(?: X{3,})+\b"),
 )
-# Failed values that stand where content should.
+# Failed values that stand where content should, and lines of program traces; each with a text that every match holds.
 FAILED = (
-    r"(?<!\w)#(?:REF|DIV/0|NAME|NUM|NULL|VALUE|N/A)[!?]?(?!\w)", r"\[object Object\]", r"\[[a-z]+(?: [a-z]+)* not found\]", r"\bInvalid Date\b", r"\bNaN\b", r":\s*(?:undefined|null|None)\b", r"(?:^|[;,(=]\s*|\bnumber |\bof )(?:undefined|null)(?=[.,;)]|\s*$| undefined| null)", r"\b(?:undefined undefined|null null)\b",
-)
-# Error messages and error pages.
-ERRORS = (
-    r"\b[45]\d\d (?:Not Found|Forbidden|Unauthorized|Bad Gateway|Service Unavailable|Gateway Time-?out|Internal Server Error|Bad Request|Gone)\b", r"\bHTTP Error \d", r"\bpage not found\b(?! message)", r"\bpage introuvable\b", r"\bseite nicht gefunden\b", r"\bheb ddod o hyd\b",
-    r"\bcould not be found on this server\b", r"\bcan[’']t find that page\b", r"\bn[’']existe plus\.", r"\bgateway time-?out\b", r"\bsomething went wrong\b", r"\bunhandled exception\b", r"\bthe application will now close\b",
-    r"\bError \d+: ", r"\bSQL error \d+", r"\bexport failed after\b", r"\bquery timed out\b", r"\breturned an error and was not produced\b", r"\bcould not connect to\b", r"\bdivision by zero in\b", r"\bundefined (?:index|variable|offset)\b", r"\btraceback \(most recent call",
-    r"\bFile \"[^\"]+\", line \d+", r"\bon line \d+\b(?=.*\.(?:php|inc))|\.(?:php|inc) on line \d+", r"\bune erreur interne est survenue\b", r"\binterner fehler\b", r"\bmae gwall\b",
-    r"\bis down for maintenance\b", r"\bno data to display\b", r"\bloading chart, please wait\b", r"^(?:- )?loading\.\.\.", r"\bcontact the administrator\b", r"\btry again later\.", r"\bcheck back later\.",
-)
-# Lines of program traces, in which letter case matters.
-TRACES = (
-    r"\b(?:[a-z]+\.)+[A-Z]\w*(?:Exception|Error)\b", r"\b\w+(?:Exception|Error): ", r"\bat [a-z]\w*(?:\.\w+)+\(\w+\.\w+:\d+\)",
-)
-# Refusals of access or session.
-REFUSALS = (
-    r"\baccess denied\b", r"\byou do not have permission\b", r"\byour session has expired\b", r"\bsign in again\b", r"\btoo many requests\b", r"\byour address has been blocked\b", r"\bnot a robot\b", r"\blog in to continue\b",
-)
-# Notices that scripts or cookies are needed.
-SCRIPTS = (
-    r"\b(?:please )?(?:enable|turn on|switch on|activate|allow) (?:javascript|scripts?|cookies)\b", r"\bturn on scripts and cookies\b", r"\bjavascript (?:is|must be) (?:required|enabled|disabled|turned)", r"\bworks best with javascript\b", r"\bhas scripts turned off\b", r"\byour browser is not supported\b", r"\bswitch scripting on\b",
-    r"\bactiver javascript\b", r"\baktivieren sie javascript\b", r"\bangen javascript\b", r"\bcookies? (?:is|are|must be) (?:required|enabled|needed|disabled)\b",
+    ("#", r"(?<!\w)#(?:REF|DIV/0|NAME|NUM|NULL|VALUE|N/A)[!?]"), ("[", r"\[object Object\]"), ("[", r"\[[a-z]+(?: [a-z]+)* not found\]"), ("Invalid", r"\bInvalid Date\b"), ("NaN", r"\bNaN\b"), ("undefined", r":\s*undefined\b"), ("null", r":\s*null\b"), ("None", r":\s*None\b"), ("undefined", r"\bundefined undefined\b"), ("null", r"\bnull null\b"),
+    ("Exception", r"\b(?:[a-z]+\.)+[A-Z]\w*Exception\b"), ("Error", r"\b(?:[a-z]+\.)+[A-Z]\w*Error\b"), ("Exception", r"\b\w+Exception: "), ("Error", r"\b\w+Error: "), ("(", r"\bat [a-z]\w*(?:\.\w+)+\(\w+\.\w+:\d+\)"), ("File", r"\bFile \"[^\"]+\", line \d+"),
 )
-_I = re.IGNORECASE
-_REPEATED = re.compile(r"\b(\w{3,}(?: \w{3,})?)(?: \1){2,}\b")
-_CASED = [re.compile("|".join(f"(?:{p})" for p in group)) for group in (PLACEHOLDERS, FAILED, TRACES)]
-_FOLDED = re.compile("|".join(f"(?:{p})" for p in (*FILLER, *ERRORS, *REFUSALS, *SCRIPTS)), _I)
-# Every trusted phrase but the repeated words holds one of these, in small letters; texts without any are passed over quickly.
-KEYS = (
-    "{", "<", "[", "@@", "«", "__", "%", "#", "$", "(enter ", "(insert ", "dd/mm/yyyy", "£0,000.00", "name of supplier", "xxx", "lorem ipsum", "asdf", "qwer", "click here", "choose an item", "text goes here", "coming soon", "in this box", "in this space", "placeholder ",
-    "by the template", "page title", "invalid date", "nan", "undefined", "null", "none", "not found", "forbidden", "unauthorized", "bad gateway", "unavailable", "time-out", "timeout", "server error", "bad request", " gone", "http error", "introuvable", "nicht gefunden",
-    "hyd", "could not be found", "find that page", "existe plus", "went wrong", "unhandled exception", "will now close", "error ", "export failed", "timed out", "returned an error", "could not connect", "division by zero", "traceback", "exception", "error: ", "keyerror",
-    ".java:", ".py:", ".scala:", ", line ", " on line ", "erreur interne", "interner fehler", "gwall", "maintenance", "no data to", "loading", "administrator", "again later", "back later", "access denied", "permission", "has expired", "sign in again", "too many requests", "been blocked", "not a robot", "log in to",
-    "javascript", "script", "cookie", "browser",
+# Phrases that templates, servers and programs everywhere show, in small letters.
+PHRASES = (
+    "lorem ipsum", "click here to enter text", "choose an item", "text goes here", "your text here", "type your summary", "type your name", "add a short description", "content coming soon", "placeholder text", "placeholder paragraph", "placeholder copy", "replace this text", "intentionally left blank", "sample text", "asdf", "qwerty",
+    "400 bad request", "401 unauthorized", "403 forbidden", "404 not found", "410 gone", "internal server error", "502 bad gateway", "503 service unavailable", "service temporarily unavailable", "gateway timeout", "gateway time-out",
+    "page not found", "http error", "page introuvable", "seite nicht gefunden", "could not be found on this server", "something went wrong", "unhandled exception", "an unexpected error", "traceback (most recent call last)", "undefined index", "undefined variable", "division by zero in",
+    "sql error", "query timed out", "erreur interne", "interner fehler", "mae gwall", "down for maintenance", "no data to display", "try again later", "check back later", "contact the administrator", "the application will now close",
+    "access denied", "you do not have permission", "session has expired", "too many requests", "not a robot", "log in to continue", "sign in again", "your address has been blocked",
+    "enable javascript", "turn on javascript", "javascript is required", "requires javascript", "javascript must be enabled", "activer javascript", "aktivieren sie javascript", "angen javascript", "enable cookies", "cookies are required", "browser is not supported", "scripts turned off",
 )
-# Wordings by which a passage merely speaks of residue.
-SPEAKS_OF = re.compile(r"\baccess was denied to\b|\bno longer needs? javascript\b|\bmessage and mended\b|\bused to (?:show|say)\b", _I)
-
-_BREAKS = re.compile(r"\s*\n\s*(?:[>|]\s*)*|\s+")
-_SPLIT = re.compile(r"(?<=[.!?…])\s+(?=\S)")
-_WORD = re.compile(r"\w+|[^\w\s]+")
-
-
-def passages(text: str | None) -> list[str]:
-    """Sentences of a text, line breaks and quote marks at line starts being blanks; none for NULL or blank texts."""
-    flat = _BREAKS.sub(" ", text).strip() if text else ""
-    return _SPLIT.split(flat) if flat else []
-
-
-def wording(passage: str) -> list[str]:
-    """Tokens of a passage with figures, references and names made alike, so that one wording is counted once."""
-    out = []
-    for k, w in enumerate(_WORD.findall(passage)):
-        if any(c.isdigit() for c in w):
-            out.append("9")
-        elif k and len(w) > 5 and w[0].isupper() and w[1:].islower():
-            out.append("Nn")
-        else:
-            out.append(w.lower())
-    return out
+_AGAIN = re.compile(r"\b(\w{3,}(?: \w{3,})?)(?: \1){2,}\b")
+_QUOTED = re.compile(r"\n\s*(?:[>|]\s*)+")
+_TOKEN = re.compile(r"\w+|[^\w ]")
+# ends of sentences and of texts: signs that count as blanks in a text and so are in none that was read
+_NEXT, _OTHER = "\n", "\x1e"
 
 
-def cells_of(tokens: list[str]) -> list[int]:
-    """Hashed cells of a wording's words and neighbouring pairs, each once."""
-    grams = {*tokens, *(f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False))}
-    return sorted({zlib.crc32(g.encode()) % CELLS for g in grams})
+def sentences(text: str) -> str:
+    """A text with one sentence a line; line breaks, and quote marks at line starts, are blanks."""
+    if "\n>" in text or "\n|" in text or "\n " in text:
+        text = _QUOTED.sub(" ", text)
+    flat = " ".join(text.split())
+    for end in ".!?…":
+        flat = flat.replace(f"{end} ", f"{end}\n")
+    return flat
 
 
-def trusted(passage: str) -> bool:
-    """Whether a passage holds a trusted placeholder, failed value, error, refusal or notice, and doesn't speak of one."""
-    if not _REPEATED.search(passage):
-        low = passage.lower()
-        if not any(k in low for k in KEYS) or not (_FOLDED.search(passage) or any(p.search(passage) for p in _CASED)):
-            return False
-    return not SPEAKS_OF.search(passage)
+def passages(text: str | None) -> list[str]:
+    """Sentences of a text; none for NULL or blank texts."""
+    return [p for p in sentences(text).split("\n") if p] if text else []
 
 
-def distinct_wordings(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(wording hash, cells, trusted, n): each distinct wording of the corpus, counted before and after the shuffle."""
+class Trust:
+    """The test for a trusted passage: one of the patterns, one of the phrases as whole words, or a word or pair thrice in a row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[int, list] = {}
-            for t in batch.column(0).to_pylist():
-                for p in passages(t):
-                    tokens = wording(p)
-                    sure = trusted(p)
-                    joined = " ".join(tokens).encode()
-                    h = (zlib.crc32(joined) << 32 | zlib.adler32(joined)) - 2**63
-                    if (h, sure) in seen:
-                        seen[h, sure][1] += 1
-                    else:
-                        seen[h, sure] = [cells_of(tokens), 1]
-            rows = list(seen.items())
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.int64()), pa.array([k[1] for k, _ in rows], pa.bool_()), pa.array([v[0] for _, v in rows], pa.list_(pa.int32())), pa.array([v[1] for _, v in rows], pa.int64())], names=["h", "sure", "cells", "n"])
-
-    parts = documents.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "h bigint, sure boolean, cells array<int>, n bigint")
-    return parts.groupBy("h", "sure").agg(F.first("cells").alias("cells"), F.sum("n").alias("n"))
+    def __init__(self, patterns: Sequence[tuple[str, str]] = (*PLACEHOLDERS, *FAILED), phrases: Sequence[str] = PHRASES) -> None:
+        self.patterns = re.compile("|".join(f"(?:{p})" for _, p in patterns) or "(?!)")
+        self.phrases = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(p) for p in phrases) + r")(?!\w)" if phrases else "(?!)")
+        # what a passage must hold to be worth the test: a token with a pattern's text inside, or the longest word of a phrase
+        self.inside = {t for t, _ in patterns}
+        self.words = {w for p in phrases for w in re.findall(r"\w+", p)}
+        self.whole = {max(re.findall(r"\w+", p), key=len) for p in phrases}
 
+    def __call__(self, passage: str) -> bool:
+        return bool(self.patterns.search(passage) or self.phrases.search(passage.lower()) or _AGAIN.search(passage))
 
-class Model:
-    """Word weights (log ratios per cell) and the prior log odds."""
-
-    def __init__(self, positive: np.ndarray, negative: np.ndarray, n_positive: float, n_negative: float) -> None:
-        self.weights = np.log((positive + 0.1) / (n_positive + 0.2)) - np.log((negative + 0.1) / (n_negative + 0.2))
-        self.prior = math.log((n_positive + 1) / (n_negative + 1))
+    def calls_for(self, token: str) -> bool:
+        """Whether a passage with this token may pass the test by a pattern or phrase."""
+        return token.lower() in self.whole or any(t in token for t in self.inside)
 
-    def odds(self, cells: list[int] | np.ndarray) -> float:
-        return float(self.prior + self.weights[cells].sum()) if len(cells) else self.prior
 
+class Lexer(dict):
+    """Texts to arrays of hashed tokens; remembers the distinct tokens it has met."""
 
-    def worst(self, tokens: list[str], stretch: int = STRETCH) -> float:
-        """Log odds of the stretch of a passage that is most like residue."""
-        return max(self.odds(cells_of(tokens[k : k + stretch])) for k in range(max(1, len(tokens) - stretch + 1)))
+    def __init__(self, trust: Trust) -> None:
+        super().__init__()
+        self.trust = trust
+        self.restart()
 
+    def restart(self) -> None:
+        self.clear()
+        self.first, self.rest, self.tested = [0, 0], [0, 0], [False, False]
+        self[_NEXT], self[_OTHER] = 0, 1
 
-    def filler(self, tokens: list[str], cache: dict[str, bool]) -> bool:
-        """Whether a passage consists almost wholly of words that this model knows from residue."""
-        words = [t for t in tokens if t.isalpha()]
-        if len(words) < FILLER_WORDS:
-            return False
-        if len(cache) > 300_000:
-            cache.clear()
-        strong = 0
-        for k, w in enumerate(words):
-            if w not in cache:
-                cache[w] = bool(self.weights[zlib.crc32(w.encode()) % CELLS] > FILLER_WEIGHT)
-            strong += cache[w]
-            if k - strong > (1 - FILLER_SHARE) * len(words):
-                return False
-        return strong >= FILLER_SHARE * len(words) and self.worst(tokens) >= FILLER_ODDS
+    def __missing__(self, token: str) -> int:
+        if any(c.isdigit() for c in token):
+            plain = named = "9" * min(len(token), 4)
+        elif "_" in token:
+            plain = named = "__a__" if token[0] == "_" else "a_a"
+        else:
+            plain = token.lower()
+            named = "Nn" if len(token) > 5 and token[0].isupper() and token[1:].islower() and plain not in self.trust.words else plain
+        # the lowest bit tells words from figures and signs
+        code = lambda t: xxhash.xxh32_intdigest(t) & 0xFFFFFFFE | t[0].isalpha()
+        self[token] = len(self.first)
+        self.first.append(code(plain))
+        self.rest.append(code(named))
+        self.tested.append(self.trust.calls_for(token))
+        return self[token]
+
+    def read(self, texts: Sequence[str | None], test: bool = False) -> Passages:
+        """The passages of all texts; with ``test``, which of them are trusted."""
+        if len(self) > KNOWN_TOKENS:
+            self.restart()
+        flat = [sentences(t) if t else "" for t in texts]
+        tokens = _TOKEN.findall(_OTHER.join(flat))
+        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        breaks, others = np.cumsum(at <= 1), np.cumsum(at == 1)
+        kept = np.flatnonzero(at > 1)
+        begins = np.flatnonzero(np.diff(breaks[kept], prepend=-1))
+        start, at = kept[begins], at[kept]
+        codes = np.array(self.rest, dtype=np.uint32)[at]
+        codes[begins] = np.array(self.first, dtype=np.uint32)[at[begins]]
+        row, trusted = others[start], np.zeros(len(begins), dtype=bool)
+        if test and len(begins):
+            sentence = breaks[start] - np.concatenate([[0], breaks[np.diff(others, prepend=0) > 0]])[row]
+            calls = np.logical_or.reduceat(np.array(self.tested)[at] | again(codes, begins), begins)
+            for k in np.flatnonzero(calls):
+                trusted[k] = self.trust(flat[row[k]].split(_NEXT)[sentence[k]])
+        return Passages(codes, begins, row, trusted)
+
+
+@dataclass(frozen=True)
+class Passages:
+    """``codes``: hashed tokens of all passages one after another; ``begins``: where each starts; ``row``: its text; ``trusted``."""
+
+    codes: np.ndarray
+    begins: np.ndarray
+    row: np.ndarray
+    trusted: np.ndarray
+
+
+def back(codes: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the one ``k`` places before it, and whether that belongs to the same passage."""
+    place = np.arange(len(codes)) - np.repeat(begins, np.diff(begins, append=len(codes)))
+    return np.concatenate([np.zeros(k, dtype=codes.dtype), codes[:-k]])[: len(codes)], place >= k
+
+
+def again(codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Whether a token is a word that repeats the one before it, or ends a pair that repeats the pair before it."""
+    (one, has1), (two, has2), (three, has3) = (back(codes, begins, k) for k in (1, 2, 3))
+    return (codes & 1 == 1) & ((has1 & (codes == one)) | (has2 & (codes == two) & has3 & (one == three)))
+
+
+def cells_of(codes: np.ndarray, begins: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """The model's cells for each token as (cell, whether it counts, words it reaches back): the token itself, with its neighbour, with the one beyond, a repeat."""
+    (one, has1), (two, has2) = back(codes, begins, 1), back(codes, begins, 2)
+    mixed = lambda a, b, salt: ((a * np.uint32(2654435761) ^ b) * np.uint32(salt) >> np.uint32(32 - CELL_BITS)).astype(np.int64)
+    every = np.ones(len(codes), dtype=bool)
+    return [(mixed(codes, codes, 2246822519), every, 0), (mixed(one, codes, 3266489917), has1, 1), (mixed(two, codes, 668265263), has2, 2), (np.full(len(codes), CELLS), again(codes, begins), 0)]
+
+
+def pieces(texts: Sequence[str | None], most: int = PIECE) -> Iterator[slice]:
+    """Runs of texts with about ``most`` characters in all, so that long texts don't swell the arrays of a whole batch."""
+    low = size = 0
+    for k, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield slice(low, k + 1)
+            low, size = k + 1, 0
+    if low < len(texts):
+        yield slice(low, len(texts))
 
 
-def fit(wordings: DataFrame, rounds: int = ROUNDS) -> tuple[Model, Model]:
-    """Expectation-maximisation from trusted and unlabelled wordings: trusted ones stay positive, the others start negative.
+class Model:
+    """Weights of the cells (log ratios) and the prior log odds of a passage."""
+
+    def __init__(self, positive: np.ndarray, negative: np.ndarray, passages: tuple[float, float]) -> None:
+        share = (positive.sum() + 1) / (positive.sum() + negative.sum() + 2)
+        part = (positive + SHRINK * share) / (positive + negative + SHRINK)
+        self.weights = (np.log(part / (1 - part)) - math.log(share / (1 - share))).astype(np.float32)
+        self.prior = math.log((passages[0] + 1) / (passages[1] + 1))
+
+    def whole(self, codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """For each passage the log odds of all its words together."""
+        total = np.full(len(begins), self.prior)
+        if len(begins):
+            for cell, counts, _ in cells_of(codes, begins):
+                total += np.add.reduceat(np.where(counts, self.weights[cell], 0.0), begins)
+        return total
+
+    def worst(self, codes: np.ndarray, begins: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
+        """For each passage the log odds of its stretch that is most like residue; a shorter passage is one stretch."""
+        if not len(begins):
+            return np.empty(0)
+        sizes = np.diff(begins, append=len(codes))
+        ends = np.repeat(begins + sizes, sizes)
+        low = np.arange(len(codes))
+        total = np.full(len(codes), self.prior)
+        for cell, counts, reach in cells_of(codes, begins):
+            sums = np.concatenate([[0.0], np.cumsum(np.where(counts, self.weights[cell], 0.0))])
+            high = np.minimum(low + stretch, ends)
+            # what reaches back before the stretch isn't part of it
+            total += sums[high] - sums[np.minimum(low + reach, high)]
+        # a stretch is whole unless the passage is shorter
+        whole = (low + stretch <= ends) | (low == np.repeat(begins, sizes))
+        return np.maximum.reduceat(np.where(whole, total, -np.inf), begins)
+
+
+def distinct_wordings(rows: DataFrame, trust: Trust) -> DataFrame:
+    """(codes, sure, n): each distinct wording of the corpus and its number, counted before and after the shuffle."""
 
-    Gives the last model, and the first, which knows the trusted passages only.
-    """
-    model = first = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexer = Lexer(trust)
+        for batch in batches:
+            texts, seen = batch.column(0).to_pylist(), {}
+            for piece in pieces(texts):
+                found = lexer.read(texts[piece], test=True)
+                raw, ends = found.codes.tobytes(), [*found.begins[1:].tolist(), len(found.codes)]
+                for a, b, sure in zip(found.begins.tolist(), ends, found.trusted.tolist(), strict=False):
+                    entry = seen.setdefault(raw[4 * a : 4 * b], [False, 0])
+                    entry[0] |= sure
+                    entry[1] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([v[0] for v in seen.values()], pa.bool_()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["codes", "sure", "n"])
+
+    return rows.mapInArrow(run, "codes binary, sure boolean, n bigint").groupBy("codes").agg(F.bool_or("sure").alias("sure"), F.sum("n").alias("n"))
+
+
+def fit(wordings: DataFrame, rounds: int = ROUNDS) -> Model:
+    """Expectation-maximisation from trusted and unlabelled wordings: trusted ones stay positive, the others start negative."""
+    model = None
     for _ in range(rounds):
         held = wordings.sparkSession.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            m, pos, neg = held.value, np.zeros(CELLS + 1), np.zeros(CELLS + 1)
+            pos, neg, passages = np.zeros(CELLS + 1), np.zeros(CELLS + 1), np.zeros(2)
             for batch in batches:
-                for sure, cells, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    share = 1.0 if sure else 0.0 if m is None else 1 / (1 + math.exp(-max(-500.0, min(500.0, m.odds(cells)))))
-                    # a wording counts more the more often it comes, but boilerplate mustn't drown the rest
-                    at, n = [*cells, CELLS], math.sqrt(n)
-                    pos[at] += n * share
-                    neg[at] += n * (1 - share)
+                raw = batch.column(0).to_pylist()
+                codes, sizes = np.frombuffer(b"".join(raw), dtype=np.uint32), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+                begins, share = np.cumsum(sizes) - sizes, np.array(batch.column(1).to_pylist(), dtype=float)
+                if held.value is not None:
+                    share = np.maximum(share, 1 / (1 + np.exp(-np.clip(held.value.whole(codes, begins), -500, 500))))
+                n = np.array(batch.column(2).to_pylist(), dtype=float)
+                passages += (n * share).sum(), (n * (1 - share)).sum()
+                up, down = np.repeat(n * share, sizes), np.repeat(n * (1 - share), sizes)
+                for cell, counts, _ in cells_of(codes, begins):
+                    pos += np.bincount(cell[counts], up[counts], CELLS + 1)
+                    neg += np.bincount(cell[counts], down[counts], CELLS + 1)
             used = np.flatnonzero(pos + neg)
-            if len(used):
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(pos[used]), pa.array(neg[used])], names=["cell", "pos", "neg"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int32()), pa.array([passages[0], *pos[used]]), pa.array([passages[1], *neg[used]])], names=["cell", "pos", "neg"])
 
-        counts = wordings.select("sure", "cells", "n").mapInArrow(expect, "cell int, pos double, neg double").groupBy("cell").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
-        pos, neg = np.zeros(CELLS + 1), np.zeros(CELLS + 1)
-        for cell, a, b in counts:
-            pos[cell], neg[cell] = a, b
-        model = Model(pos[:-1], neg[:-1], pos[-1], neg[-1])
-        first = first or model
-    return model, first
+        found = wordings.select("codes", "sure", "n").mapInArrow(expect, "cell int, pos double, neg double").groupBy("cell").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
+        cell, counts = found.column("cell").to_numpy(), np.zeros((2, CELLS + 2))
+        counts[:, cell + 1] = found.column("pos").to_numpy(), found.column("neg").to_numpy()
+        model = Model(counts[0, 1:], counts[1, 1:], (counts[0, 0], counts[1, 0]))
+        held.unpersist()
+    return model
 
 
-def residue_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def residue_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", least_odds: float = LEAST_ODDS, trust: Trust | None = None) -> DataFrame:
     """(key, passages, odds): documents with residue, the number of such passages and the highest log odds among them.
 
-    A passage counts if the model gives its worst stretch at least ``threshold`` and the exact check holds: it has a trusted
-    phrase and doesn't merely speak of one, or it consists of the words of known filler throughout.  NULL, empty and blank texts
-    are never residue; repeated documents count each; texts of any length are read whole; an empty table gives none.
+    A passage is residue if the fitted model gives its worst stretch at least ``least_odds``; nothing else is asked.  ``trust``
+    labels the passages that the fit starts from.  NULL, empty and blank texts are never residue; repeated documents count
+    each; texts of any length are read whole; an empty table, or one without any trusted passage, gives none.
     """
     rows = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
-    wordings = distinct_wordings(rows).persist(StorageLevel.MEMORY_AND_DISK)
-    models = fit(wordings)
+    trust = trust or Trust()
+    wordings = distinct_wordings(rows.select("text"), trust).persist(StorageLevel.MEMORY_AND_DISK)
+    none = not wordings.where("sure").limit(1).count()
+    held = documents.sparkSession.sparkContext.broadcast(None if none else fit(wordings))
     wordings.unpersist()
-    held = documents.sparkSession.sparkContext.broadcast(models)
-    floor = math.log(threshold / (1 - threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (model, first), cache = held.value, {}
+        model, lexer = held.value, Lexer(trust)
         for batch in batches:
-            keys, counts, odds = [], [], []
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                scores = []
-                for p in passages(t):
-                    tokens = wording(p)
-                    if (trusted(p) or first.filler(tokens, cache)) and (o := model.worst(tokens)) >= floor:
-                        scores.append(o)
-                if scores:
-                    keys.append(k)
-                    counts.append(len(scores))
-                    odds.append(max(scores))
-            if keys:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), pa.array(counts, pa.int32()), pa.array(odds, pa.float64())], names=[key, "passages", "odds"])
+            texts = batch.column(1).to_pylist() if model else []
+            for piece in pieces(texts):
+                found = lexer.read(texts[piece])
+                odds = model.worst(found.codes, found.begins)
+                bad = odds >= least_odds
+                at, first, counts = np.unique(found.row[bad], return_index=True, return_counts=True)
+                if len(at):
+                    worst = np.maximum.reduceat(odds[bad], first)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + piece.start)), pa.array(counts, pa.int32()), pa.array(worst, pa.float64())], names=[key, "passages", "odds"])
 
     return rows.mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, passages int, odds double")
