@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.components import cut
 from ledgerloom.operators.skew import checked_join
 
-# The headings publishers use for the two fields, without blanks and in small letters.
+# Headings known to feed the two fields, without blanks and in small letters; others are learnt from the files (``learnt_headings``).
 FIELD_HEADINGS = {
     "expense_type_src": ("expensetype", "exptyp", "spendcategory", "costclassification", "natureofcost", "purposeofspending", "expenditureheading", "whatthemoneywasfor"),
     "supplier_postcode_src": ("supplierpostcode", "postcodeofpayee", "payeepostcode", "postalcode", "supppc", "locationcode", "vendoraddresscode"),
@@ -41,19 +42,46 @@ def path_types(rows: DataFrame, file: str, paths: Sequence[str]) -> DataFrame:
     return typed.groupBy("file", "path", "raw_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def file_fields(headers: DataFrame, headings: Mapping[str, Sequence[str]] = FIELD_HEADINGS) -> DataFrame:
+def file_fields(headers: DataFrame, headings: Mapping[str, Sequence[str]] = FIELD_HEADINGS, filled: DataFrame | None = None) -> DataFrame:
     """For each file and field the heading that feeds it: (source_file, unit_code, period, field, heading, heading_text).
 
     A file without a column for a field has NULL headings there.  If several columns qualify, the leftmost counts (the
-    smallest heading on equal positions); repeated header rows change nothing.
+    smallest heading on equal positions); repeated header rows change nothing.  ``filled`` (source_file, field) names the
+    files that hold values of a field; where such a file has none of the listed ``headings``, ``learnt_headings`` finds one.
     """
-    fields = F.create_map(*[F.lit(x) for field, keys in headings.items() for k in keys for x in (k, field)])
+    fields = F.create_map(*[F.lit(x) for field, keys in headings.items() for k in keys for x in (k, field)], F.lit(""), F.lit(""))
     key = heading_key(F.col("header_text"))
     per_file = headers.groupBy("source_file", "unit_code", "period").agg(
         *[F.min(F.when(F.try_element_at(fields, key) == f, F.struct(F.col("col_pos").alias("pos"), key.alias("heading"), F.col("header_text").alias("heading_text")))).alias(f) for f in headings]
     )
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}.heading").alias("heading"), F.col(f"{f}.heading_text").alias("heading_text")) for f in headings])
-    return per_file.select("source_file", "unit_code", "period", F.inline(pairs))
+    listed = per_file.select("source_file", "unit_code", "period", F.inline(pairs))
+    if filled is None:
+        return listed
+    columns = headers.select("source_file", key.alias("heading"), "header_text", "col_pos").where(F.try_element_at(fields, key).isNull())
+    learnt = learnt_headings(columns, listed.where("heading IS NOT NULL").select("source_file", "field").distinct(), filled)
+    both = listed.join(learnt.select("source_file", "field", F.col("heading").alias("_h"), F.col("heading_text").alias("_t")), ["source_file", "field"], "left")
+    return both.select("source_file", "unit_code", "period", "field", F.coalesce("heading", "_h").alias("heading"), F.coalesce("heading_text", "_t").alias("heading_text"))
+
+
+def learnt_headings(columns: DataFrame, listed: DataFrame, filled: DataFrame) -> DataFrame:
+    """(source_file, field, heading, heading_text) for files with values of a field but without a listed heading for it.
+
+    A heading of ``columns`` (source_file, heading, header_text, col_pos) can feed a field if every file that has it holds values of
+    the field and none of them has a listed heading for it (``listed``: source_file, field).  Of several in a file, the one
+    wins that most often is the only one, then the one of most files, then the smallest.  All tables have one row per file and
+    heading at most; data rows were counted before.
+    """
+    own = columns.groupBy("source_file", "heading").agg(F.min(F.struct("col_pos", "header_text")).alias("_c")).select("source_file", "heading", F.col("_c.header_text").alias("heading_text"))
+    files = own.groupBy("heading").agg(F.count(F.lit(1)).alias("n"))
+    open_ = filled.select("source_file", "field").distinct().join(listed, ["source_file", "field"], "left_anti")
+    seen = own.join(open_, "source_file")
+    pure = seen.groupBy("heading", "field").agg(F.count(F.lit(1)).alias("m")).join(files, "heading").where("m = n").select("heading", "field", "n")
+    able = seen.join(pure, ["heading", "field"])
+    rivals = able.groupBy("source_file", "field").agg(F.count(F.lit(1)).alias("rivals"))
+    alone = able.join(rivals, ["source_file", "field"]).groupBy("heading", "field").agg(F.count_if(F.col("rivals") == 1).alias("alone"))
+    best = F.min(F.struct((-F.col("alone")).alias("a"), (-F.col("n")).alias("b"), "heading", "heading_text"))
+    return able.join(alone, ["heading", "field"]).groupBy("source_file", "field").agg(best.alias("_b")).select("source_file", "field", "_b.heading", "_b.heading_text")
 
 
 def drift_report(headers: DataFrame, rows: DataFrame, file: str = "_source_file", headings: Mapping[str, Sequence[str]] = FIELD_HEADINGS) -> DataFrame:
@@ -61,12 +89,13 @@ def drift_report(headers: DataFrame, rows: DataFrame, file: str = "_source_file"
 
     Columns source_file, field, change ('added', 'removed', 'renamed', 'retyped'), before, after.  'retyped' holds if both
     files have a column for the field and most values are bare numbers in one but not in the other; a file without
-    values has no type, so nothing is retyped against it.  The first file of a series, files with a NULL unit or period
-    and empty inputs report nothing.  The window runs over one row per file and field, never over data rows.
+    values has no type, so nothing is retyped against it.  Headings outside the list are told by the files that hold values
+    (``learnt_headings``), so a new name is a renaming and not a loss.  The first file of a series, files with a NULL unit or
+    period and empty inputs report nothing.  The window runs over one row per file and field, never over data rows.
     """
     stats = path_types(rows, file, list(headings)).groupBy("file", "path").agg(F.sum(F.when(F.col("raw_type") == "number", F.col("n")).otherwise(0)).alias("numbers"), F.sum("n").alias("n"))
-    typed = stats.select(F.col("file").alias("source_file"), F.col("path").alias("field"), (F.col("numbers") * 2 > F.col("n")).alias("numeric"))
-    fields = file_fields(headers.where("unit_code IS NOT NULL AND period IS NOT NULL"), headings).join(typed, ["source_file", "field"], "left")
+    typed = cut(stats.select(F.col("file").alias("source_file"), F.col("path").alias("field"), (F.col("numbers") * 2 > F.col("n")).alias("numeric")))
+    fields = file_fields(headers.where("unit_code IS NOT NULL AND period IS NOT NULL"), headings, typed).join(typed, ["source_file", "field"], "left")
     before = Window.partitionBy("unit_code", "field").orderBy("period", "source_file")
     pairs = fields.select(
         "source_file", "field", "heading", "heading_text", "numeric", F.row_number().over(before).alias("_k"),
