@@ -30,7 +30,7 @@ def duck():
 
 
 def core_queries():
-    from ledgerloom.plans import catalogue, general
+    from ledgerloom.plans import catalogue, general, raw_catalogue  # noqa: F401
 
     return {**general.QUERIES, **catalogue.QUERIES}
 

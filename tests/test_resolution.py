@@ -35,7 +35,7 @@ def test_verdicts_records_and_facts(spark):
         "BY NUMBER": (1, "high", True, None, False), "BY NAME": (2, "high", True, None, False), "BY CODE": (3, "medium", True, None, False), "T1 YES": (1, "reviewed", True, None, False), "T4 YES": (4, "reviewed", True, None, False), "T4 OPEN": (4, "review", False, "review", False),
         "STALE": (4, "review", False, "review", True), "NO": (4, "review", False, "review", False), "LOW": (5, "none", False, "below_threshold", False), "NONE": (5, "none", False, "no_match", False), "REDACTED": (5, "none", False, "redacted", False), "AMBI": (5, "none", False, "ambiguous", False)}
     notes = {r["supplier_name_norm"]: r["resolution_notes"] for r in m.collect()}
-    assert "stale" in notes["STALE"] and notes["NONE"] == "tier 4: no candidate" and "0.6000" in notes["LOW"]
+    assert "no longer offered" in notes["STALE"] and notes["NONE"] == "tier 4: no similar name" and "0.6000" in notes["LOW"] and notes["AMBI"].startswith("tier 1: more than one company fits")
     g = golden.golden_record(spend, m, firms)
     assert g.count() == 12 and {r["name_variant_count"] for r in g.where("company_number = '1'").collect()} == {2}
     resolved = golden.resolve_spend(spend, m)
