@@ -64,11 +64,11 @@ def dim_category(resolved: DataFrame) -> DataFrame:
 def facts(resolved: DataFrame, suppliers: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Payment lines of resolved and of unresolved suppliers, at the same grain."""
     keyed = resolved.where("supplier_key IS NOT NULL").withColumn("category_key", F.coalesce(category_key(), F.lit(UNCATEGORISED)))
-    j = keyed.join(suppliers.select("supplier_key", "is_resolved", "unresolved_reason"), "supplier_key")
+    j = checked_join(keyed, suppliers.select("supplier_key", "is_resolved", "unresolved_reason"), ["supplier_key"])
     common = ["spend_id", "supplier_key", "entity", F.col("payment_date").alias("date_key"), "category_key", "amount", "transaction_number", "_source_file"]
     reviewed = F.col("match_confidence") == "reviewed"
     basis = F.when(reviewed & F.coalesce(F.col("review_decided_by") == "user", F.lit(False)), "user_review").when(reviewed, "delegated_review").otherwise("method")
-    done = j.where("is_resolved").join(matches.select("supplier_name_norm", "match_confidence", "review_decided_by"), "supplier_name_norm").select(*common, basis.alias("resolution_basis"))
+    done = checked_join(j.where("is_resolved"), matches.select("supplier_name_norm", "match_confidence", "review_decided_by"), ["supplier_name_norm"]).select(*common, basis.alias("resolution_basis"))
     return done, j.where("NOT is_resolved").select(*common, "unresolved_reason")
 
 

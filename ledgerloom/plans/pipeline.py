@@ -7,26 +7,44 @@ the others stay expressions, so that Catalyst prunes columns through them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import blank_to_null
-from ledgerloom.operators import evidence, golden, reporting, tiers
+from ledgerloom.operators import evidence, golden, reporting, row_roles, tiers
 from ledgerloom.operators.components import cut
+from ledgerloom.operators.skew import checked_join
 from ledgerloom.plans.tables import table
 
 
 class Pipeline:
-    """Builds each layer from the tables of one folder; decisions may be given, else they are derived by ``sample_decisions``."""
+    """Builds each layer from the tables of one folder.
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+    ``decide`` makes the two tables of recorded decisions (people's own, and delegated ones) of the candidates on offer;
+    without it there are none, and no similar name is ever taken for a match.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, decide: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None) -> None:
+        self.spark, self.folder, self.decide = spark, folder, decide
 
     @cached_property
     def spend(self) -> DataFrame:
-        return table(self.spark, self.folder, "staging_spend").withColumn("expense_type_raw", blank_to_null(F.col("expense_type_src")))
+        """All staged lines with what each row is: totals, workbook sections and leftovers stay, but are no payments."""
+        lines = table(self.spark, self.folder, "staging_spend").withColumn("expense_type_raw", blank_to_null(F.col("expense_type_src")))
+        if "row_role" in lines.columns:
+            return lines
+        place = ["_source_file", "_row_num"]
+        narrow = lines.select(*place, "supplier_name_raw", F.col("amount").cast("decimal(38,2)").alias("amount"), "expense_type_raw", F.coalesce("is_redacted", F.lit(False)).alias("is_redacted"))
+        # rows other than payments are few: at most one a file, but for workbooks
+        others = cut(row_roles.classify_rows(narrow).where("row_role <> 'transaction'").select(*place, F.col("row_role").alias("_role")))
+        return checked_join(lines, others, place, "left").withColumn("row_role", F.coalesce("_role", F.lit("transaction"))).drop("_role")
+
+    @cached_property
+    def payments(self) -> DataFrame:
+        return self.spend.where("row_role = 'transaction'")
 
     @cached_property
     def companies(self) -> DataFrame:
@@ -42,7 +60,7 @@ class Pipeline:
 
     @cached_property
     def names(self) -> DataFrame:
-        return cut(tiers.name_universe(self.spend, self.contracts))
+        return cut(tiers.name_universe(self.payments, self.contracts))
 
     @cached_property
     def t1(self) -> DataFrame:
@@ -70,7 +88,7 @@ class Pipeline:
 
     @cached_property
     def previous_evidence(self) -> DataFrame:
-        return cut(evidence.previous_name_evidence(self.spend, self.t4, self.t1, self.previous_names))
+        return cut(evidence.previous_name_evidence(self.payments, self.t4, self.t1, self.previous_names))
 
     @cached_property
     def award_evidence(self) -> DataFrame:
@@ -78,7 +96,10 @@ class Pipeline:
 
     @cached_property
     def decision_tables(self) -> tuple[DataFrame, DataFrame]:
-        return sample_decisions(self.t4)
+        if self.decide:
+            return self.decide(self.t4)
+        none = self.spark.createDataFrame([], golden.DECISION_SCHEMA)
+        return none.drop("evidence_class"), none
 
     @cached_property
     def decisions(self) -> DataFrame:
@@ -86,11 +107,11 @@ class Pipeline:
 
     @cached_property
     def matches(self) -> DataFrame:
-        return cut(golden.assemble_matches(self.spend, self.t1, self.t2, self.t3, self.t4, self.decisions))
+        return cut(golden.assemble_matches(self.payments, self.t1, self.t2, self.t3, self.t4, self.decisions))
 
     @cached_property
     def golden(self) -> DataFrame:
-        return cut(golden.golden_record(self.spend, self.matches, self.companies))
+        return cut(golden.golden_record(self.payments, self.matches, self.companies))
 
     @cached_property
     def resolved(self) -> DataFrame:
@@ -98,7 +119,7 @@ class Pipeline:
 
     @cached_property
     def queue(self) -> DataFrame:
-        return golden.review_queue(self.spend, self.matches, self.t1, self.companies, self.decisions, self.previous_evidence, self.award_evidence)
+        return golden.review_queue(self.payments, self.matches, self.t1, self.companies, self.decisions, self.previous_evidence, self.award_evidence)
 
     @cached_property
     def suppliers(self) -> DataFrame:
@@ -110,16 +131,4 @@ class Pipeline:
 
     @cached_property
     def files(self) -> DataFrame:
-        return reporting.numbered(self.resolved.groupBy("_source_file").agg(F.min("entity").alias("entity"), F.count(F.lit(1)).alias("transaction_rows")), "_source_file", "source_file_id")
-
-
-def sample_decisions(t4: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stand-in decision tables for test data: of candidates at 0.85 or more, one in four each accepted, rejected, left open, and accepted for another company."""
-    n = F.length("supplier_name_norm")
-    what = F.when(n % 4 == 1, "rejected").when(n % 4 == 2, "left_open").otherwise("accepted")
-    rows = t4.where("match_score >= 0.85").select(
-        "supplier_name_norm", F.when(n % 4 == 3, "00000000").otherwise(F.col("candidate_company_number")).alias("candidate_company_number"), what.alias("decision"), F.lit("2025-01-15").cast("date").alias("decided_on"),
-        F.when(n % 3 == 0, "ACCEPT-PREVIOUS-NAME (the name matched)").otherwise("seen").alias("decision_note"))
-    own = rows.where(n % 5 < 3).withColumn("decided_by", F.lit("user"))
-    delegated = rows.where(n % 5 > 1).select("supplier_name_norm", "candidate_company_number", "decision", "decided_on", F.lit("ACCEPT-PAYER-AWARDS").alias("evidence_class"), "decision_note", F.lit("delegate").alias("decided_by"))
-    return own, delegated
+        return reporting.numbered(self.payments.groupBy("_source_file").agg(F.min("entity").alias("entity"), F.count(F.lit(1)).alias("transaction_rows")), "_source_file", "source_file_id")
