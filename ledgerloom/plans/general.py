@@ -71,7 +71,11 @@ _FIELDS = """WITH r AS (SELECT source_file, row_num, regexp_replace(raw_record,
   j AS (SELECT source_file, row_num, CASE WHEN NOT fits THEN 'quoting' WHEN len(cells) <> width THEN 'column_count'
     WHEN (n > 0 AND NOT coalesce((regexp_full_match(num, '[0-9]{1,8}') AND NOT regexp_full_match(num, '0+')) OR regexp_full_match(upper(num), '[A-Z]{2}[0-9]{1,6}'), FALSE)) OR (d > 0 AND try_strptime(day, ['%d/%m/%Y', '%d-%b-%y', '%d-%b-%Y']) IS NULL)
       OR (a > 0 AND NOT coalesce(regexp_full_match(amt, '-?\\d+(\\.\\d*)?|\\(-?\\d+(\\.\\d*)?\\)'), FALSE)) THEN 'bad_value' END AS reason FROM v)"""
+_UNQUOTED = "list_transform(cells, lambda x: CASE WHEN x LIKE '\"%' THEN replace(x[2:-2], '\"\"', '\"') ELSE x END)"
 ORACLES = {
+    "p4_valid": _FIELDS + f""" SELECT source_file, row_num, CASE WHEN n > 0 THEN CASE WHEN regexp_full_match(trim(num), '[0-9]+') THEN lpad(ltrim(trim(num), '0'), 8, '0') ELSE upper(trim(num))[1:2] || lpad(ltrim(trim(num)[3:], '0'), 6, '0') END END AS company_number,
+   CASE WHEN d > 0 THEN try_strptime(day, ['%d/%m/%Y', '%d-%b-%y', '%d-%b-%Y'])::DATE END AS day, CASE WHEN a > 0 THEN (CASE WHEN amt LIKE '(%' OR amt LIKE '%-%' THEN -1 ELSE 1 END * regexp_replace(amt, '[()-]', '', 'g')::DECIMAL(18,2))::DECIMAL(18,2) END AS amount, to_json({_UNQUOTED})::VARCHAR AS fields
+  FROM v SEMI JOIN (SELECT source_file, row_num FROM j WHERE reason IS NULL) USING (source_file, row_num)""",
     "p4_found": _FIELDS + " SELECT source_file, row_num, reason FROM j WHERE reason IS NOT NULL",
     "p3_found": f"""WITH cols AS (SELECT source_file, unit_code, period, {_FIELD} AS field, {_SQUEEZED} AS heading FROM raw_spend_headers),
   files AS (SELECT DISTINCT source_file, unit_code, period FROM raw_spend_headers), fields AS (SELECT unnest(['expense_type_src', 'supplier_postcode_src']) AS field),
