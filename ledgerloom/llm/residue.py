@@ -89,17 +89,20 @@ class Trust:
     def __init__(self, patterns: Sequence[tuple[str, str]] = (*PLACEHOLDERS, *FAILED), phrases: Sequence[str] = PHRASES) -> None:
         self.patterns = re.compile("|".join(f"(?:{p})" for _, p in patterns) or "(?!)")
         self.phrases = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(p) for p in phrases) + r")(?!\w)" if phrases else "(?!)")
-        # what a passage must hold to be worth the test: a token with a pattern's text inside, or the longest word of a phrase
-        self.inside = {t for t, _ in patterns}
+        # what a passage must hold to be worth the test: a token with a pattern's text inside, or the first words of a phrase (two, if only a blank parts them)
+        self.inside = re.compile("|".join(sorted(re.escape(t) for t, _ in patterns)) or "(?!)")
         self.words = {w for p in phrases for w in re.findall(r"\w+", p)}
-        self.whole = {max(re.findall(r"\w+", p), key=len) for p in phrases}
+        starts = [re.match(r"\w+(?: \w+)?", p)[0].split() for p in phrases]
+        self.single = {w[0] for w in starts if len(w) == 1}
+        self.place = {w: k for k, w in enumerate(sorted({w for s in starts if len(s) == 2 for w in s}), 1)}
+        self.pairs = np.array(sorted(self.place[a] << 16 | self.place[b] for a, b in (s for s in starts if len(s) == 2)), dtype=np.int64)
 
     def __call__(self, passage: str) -> bool:
         return bool(self.patterns.search(passage) or self.phrases.search(passage.lower()) or _AGAIN.search(passage))
 
     def calls_for(self, token: str) -> bool:
-        """Whether a passage with this token may pass the test by a pattern or phrase."""
-        return token.lower() in self.whole or any(t in token for t in self.inside)
+        """Whether a passage with this token may pass the test by a pattern, or by a phrase that this word alone begins."""
+        return token.lower() in self.single or bool(self.inside.search(token))
 
 
 class Lexer(dict):
@@ -112,23 +115,24 @@ class Lexer(dict):
 
     def restart(self) -> None:
         self.clear()
-        self.first, self.rest, self.tested = [0, 0], [0, 0], [False, False]
+        self.first, self.rest, self.tested, self.place = [0, 0], [0, 0], [False, False], [0, 0]
         self[_NEXT], self[_OTHER] = 0, 1
 
     def __missing__(self, token: str) -> int:
-        if any(c.isdigit() for c in token):
+        if not token.isalpha() and any(map(str.isdigit, token)):
             plain = named = "9" * min(len(token), 4)
         elif "_" in token:
             plain = named = "__a__" if token[0] == "_" else "a_a"
         else:
             plain = token.lower()
             named = "Nn" if len(token) > 5 and token[0].isupper() and token[1:].islower() and plain not in self.trust.words else plain
-        # the lowest bit tells words from figures and signs
-        code = lambda t: xxhash.xxh32_intdigest(t) & 0xFFFFFFFE | t[0].isalpha()
+        # the lowest bit tells words from figures, signs and names
+        code = lambda t: xxhash.xxh32_intdigest(t) & 0xFFFFFFFE | (t[0].isalpha() and t != "Nn")
         self[token] = len(self.first)
         self.first.append(code(plain))
         self.rest.append(code(named))
         self.tested.append(self.trust.calls_for(token))
+        self.place.append(self.trust.place.get(token.lower(), 0))
         return self[token]
 
     def read(self, texts: Sequence[str | None], test: bool = False) -> Passages:
@@ -147,7 +151,11 @@ class Lexer(dict):
         row, trusted = others[start], np.zeros(len(begins), dtype=bool)
         if test and len(begins):
             sentence = breaks[start] - np.concatenate([[0], breaks[np.diff(others, prepend=0) > 0]])[row]
-            calls = np.logical_or.reduceat(np.array(self.tested)[at] | again(codes, begins), begins)
+            word = np.array(self.place, dtype=np.int64)[at]
+            before, has = back(word, begins, 1)
+            starts = has & (word > 0) & (before > 0)
+            starts[starts] = np.isin(before[starts] << 16 | word[starts], self.trust.pairs)
+            calls = np.logical_or.reduceat(np.array(self.tested)[at] | again(at * 2 + 1, begins) | starts, begins)
             for k in np.flatnonzero(calls):
                 trusted[k] = self.trust(flat[row[k]].split(_NEXT)[sentence[k]])
         return Passages(codes, begins, row, trusted)
