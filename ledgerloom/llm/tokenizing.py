@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,24 @@ CACHED_WORDS = 400_000
 # Fixed value: the vocabulary's cut into words.
 WORD_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-# The recursion keeps every step of a word; the last one is told by its step number.
-_MERGE = """
+#: Bytes up to which a word contracts one pair a step; longer ones contract the pair wherever it occurs, so their steps are bounded by the merges they use.
+SHORT = 48
+
+# Both recursions keep every step of a word; the last one is told by its step number.
+_LAST = """
+SELECT word, list(tok ORDER BY pos) AS ids, any_value(last) AS last
+FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state) WHERE step = last GROUP BY word
+"""
+_MERGE_SHORT = """
+WITH RECURSIVE state(word, pos, tok, step) AS (
+    SELECT word, pos, tok, 0 FROM start
+  UNION ALL
+    (WITH paired AS (SELECT word, pos, tok, step, lead(tok) OVER w AS nxt, lag(pos) OVER w AS before FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)),
+      least AS (SELECT p.*, min((m.id::BIGINT << 24) | p.pos) OVER (PARTITION BY p.word) AS best FROM paired p LEFT JOIN merges m ON p.tok = m.l AND p.nxt = m.r)
+    SELECT word, pos, CASE WHEN pos = best & 16777215 THEN (best >> 24)::INTEGER ELSE tok END, step + 1 FROM least WHERE best IS NOT NULL AND step < $most AND before IS DISTINCT FROM best & 16777215)
+)
+""" + _LAST
+_MERGE_LONG = """
 WITH RECURSIVE state(word, pos, tok, step) AS (
     SELECT word, pos, tok, 0 FROM start
   UNION ALL
@@ -39,9 +56,7 @@ WITH RECURSIVE state(word, pos, tok, step) AS (
       eaten AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY word ORDER BY pos), FALSE) AS gone FROM taken)
     SELECT word, (row_number() OVER (PARTITION BY word ORDER BY pos))::INTEGER, CASE WHEN takes THEN best ELSE tok END, step + 1 FROM eaten WHERE NOT gone)
 )
-SELECT word, list(tok ORDER BY pos) AS ids, any_value(last) AS last
-FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state) WHERE step = last GROUP BY word
-"""
+""" + _LAST
 
 
 def merge_table(ranks_file: str | Path) -> tuple[dict[int, int], pa.Table]:
@@ -67,10 +82,11 @@ def merge_table(ranks_file: str | Path) -> tuple[dict[int, int], pa.Table]:
 class WordMerger:
     """Ids of words, merged by DuckDB in groups and kept up to ``CACHED_WORDS``."""
 
-    def __init__(self, ranks_file: str) -> None:
+    def __init__(self, byte_ids: dict[int, int], merges: pa.Table) -> None:
         import duckdb
 
-        self.byte_ids, merges = merge_table(ranks_file)
+        self.of_byte = np.zeros(256, dtype=np.int32)
+        self.of_byte[list(byte_ids)] = list(byte_ids.values())
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self.db.register("merges_arrow", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_arrow")
@@ -80,28 +96,35 @@ class WordMerger:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        at = 0
-        while at < len(new):
+        coded = [w.encode() for w in new]
+        for short in (True, False):
             part, size = [], 0
-            while at < len(new) and len(part) < group and (not part or size < most_bytes):
-                part.append(new[at])
-                size += len(new[at])
-                at += 1
-            state = {k: [self.byte_ids[x] for x in w.encode()] for k, w in enumerate(part)}
-            while state:
-                # steps of one query are bounded, as it keeps them all; words that need more go on from where it ended
-                most = max(4, 3_000_000 // max(1, sum(map(len, state.values()))))
-                rows = [(k, p, t) for k, ids in state.items() for p, t in enumerate(ids, 1)]
-                words, places, tokens = zip(*rows, strict=True) if rows else ((), (), ())
-                self.db.register("start", pa.table({"word": pa.array(words, pa.int32()), "pos": pa.array(places, pa.int32()), "tok": pa.array(tokens, pa.int32())}))
-                done = self.db.execute(_MERGE, {"most": most}).fetchall()
-                self.db.unregister("start")
-                state = {}
-                for k, ids, last in done:
-                    if last < most:
-                        self.known[part[k]] = ids
-                    else:
-                        state[k] = ids
+            for k, c in enumerate(coded):
+                if (len(c) <= SHORT) == short:
+                    part.append(k)
+                    size += len(c)
+                    if len(part) == group or size >= most_bytes:
+                        self._merge([new[i] for i in part], [self.of_byte[np.frombuffer(coded[i], dtype=np.uint8)] for i in part], short)
+                        part, size = [], 0
+            if part:
+                self._merge([new[i] for i in part], [self.of_byte[np.frombuffer(coded[i], dtype=np.uint8)] for i in part], short)
+
+    def _merge(self, names: list[str], ids: list[np.ndarray], short: bool) -> None:
+        while names:
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            # steps of one query are bounded, as it keeps them all; words that need more go on from where it ended
+            most = max(4, 3_000_000 // max(1, int(sizes.sum())))
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+            self.db.register("start", pa.table({"word": pa.array(np.repeat(np.arange(len(ids), dtype=np.int32), sizes)), "pos": pa.array(place.astype(np.int32)), "tok": pa.array(np.concatenate(ids))}))
+            done = self.db.sql(_MERGE_SHORT if short else _MERGE_LONG, params={"most": most}).to_arrow_table()
+            self.db.unregister("start")
+            left = []
+            for k, found, last in zip(done.column(0).to_pylist(), done.column(1).to_pylist(), done.column(2).to_pylist(), strict=True):
+                if last < most:
+                    self.known[names[k]] = found
+                else:
+                    left.append((names[k], np.array(found, dtype=np.int32)))
+            names, ids = [n for n, _ in left], [i for _, i in left]
 
 
 def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", ranks_file: str | None = None) -> DataFrame:
@@ -112,6 +135,8 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     """
     ranks_file = ranks_file or f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
     rows = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    # the vocabulary is read and divided once, by the driver
+    held = documents.sparkSession.sparkContext.broadcast(merge_table(ranks_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -121,7 +146,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
         for batch in batches:
             for low in range(0, batch.num_rows, 2_000):
                 part = batch.slice(low, 2_000)
-                merger = merger or WordMerger(ranks_file)
+                merger = merger or WordMerger(*held.value)
                 words = [cut(t) if t else [] for t in part.column(1).to_pylist()]
                 merger.learn(set(chain.from_iterable(words)))
                 get = merger.known.__getitem__

@@ -30,8 +30,8 @@ def test_ids_equal_the_librarys(spark, exact):
 
 
 def test_few_steps_per_query_give_the_same(exact, monkeypatch):
-    m = T.WordMerger(f"{T.TOKENIZER_DIR}/byte_bpe_50k.tiktoken")
-    words = {"".join(random.choice("abcdefgh") for _ in range(n)) for n in (5, 80, 700)}
+    m = T.WordMerger(*T.merge_table(f"{T.TOKENIZER_DIR}/byte_bpe_50k.tiktoken"))
+    words = {"".join(random.choice("abcdefgh") for _ in range(n)) for n in (5, T.SHORT, T.SHORT + 1, 80, 700)}
     monkeypatch.setattr(T, "CACHED_WORDS", 0)
     m.learn(words)
     assert all(m.known[w] == exact.encode_ordinary(w) for w in words)
