@@ -33,6 +33,14 @@ def blank_to_null(value: Column) -> Column:
     return F.nullif(F.regexp_replace(value, rf"^{_WS}+|{_WS}+\z", ""), F.lit(""))
 
 
+# What normalising a name does, in this order (signs, trading styles, hyphens, blanks, leading article, legal forms), and the register's number forms.
+NAME_STEPS = (
+    (r"[^\x00-\x7F]", " "), ("&", " AND "), (rf"{_WS}+(T{_WS}*/{_WS}*A|T{_WS}*\\{_WS}*A|TRADING{_WS}+AS){_WS}+.*\z", ""), (r"[^A-Z0-9 \t\n\f\r-]", " "),
+    (rf"(^|{_WS})-+", " "), (rf"-+({_WS}|\z)", " "), (rf"{_WS}+", " "), (r"^ | \z", ""), (r"^THE ", ""), (r" PUBLIC LIMITED COMPANY\z", " PLC"), (r" LIMITED LIABILITY PARTNERSHIP\z", " LLP"), (r" LIMITED\z", " LTD"),
+)
+SHORT_NUMBER, SCOTTISH_FORM, SOCIETY_PREFIX, SOCIETY_REST, DOUBLE_PREFIX = r"^[A-Z]{2}[0-9]{1,6}\z", r"^[A-Z]{2}[0-9]{5}[A-Z]\z", r"^(IP|RS|SP)", r"^.{2}[0-9]+[A-Z]{2,}\z", r"^IPIP[0-9]{3}[A-Z0-9]\z"
+
+
 def normalise_name(raw: Column) -> Column:
     """A name in capitals without marks, signs, trading style and leading THE, legal forms in short; NULL if nothing is left.
 
@@ -40,11 +48,7 @@ def normalise_name(raw: Column) -> Column:
     """
     marked, plain = accent_table()
     v = F.regexp_replace(F.translate(F.upper(F.coalesce(raw, F.lit(""))), marked, plain), r"\p{M}", "")
-    steps = (
-        (r"[^\x00-\x7F]", " "), ("&", " AND "), (rf"{_WS}+(T{_WS}*/{_WS}*A|T{_WS}*\\{_WS}*A|TRADING{_WS}+AS){_WS}+.*\z", ""), (r"[^A-Z0-9 \t\n\f\r-]", " "),
-        (rf"(^|{_WS})-+", " "), (rf"-+({_WS}|\z)", " "), (rf"{_WS}+", " "), (r"^ | \z", ""), (r"^THE ", ""), (r" PUBLIC LIMITED COMPANY\z", " PLC"), (r" LIMITED LIABILITY PARTNERSHIP\z", " LLP"), (r" LIMITED\z", " LTD"),
-    )
-    for pattern, to in steps:
+    for pattern, to in NAME_STEPS:
         v = F.regexp_replace(v, pattern, to)
     return F.nullif(F.trim(v), F.lit(""))
 
@@ -66,8 +70,9 @@ def canon_company_number(raw: Column) -> Column:
     return (
         F.when(v.rlike(r"^0*\z"), None)
         .when(v.rlike(r"^[0-9]+\z"), F.when(F.length(bare) <= 8, F.lpad(bare, 8, "0")))
-        .when(v.rlike(r"^[A-Z]{2}[0-9]{1,6}\z"), F.concat(F.substring(v, 1, 2), F.lpad(F.regexp_replace(F.substring(v, 3, 8), "^0+", ""), 6, "0")))
-        .when(v.rlike(r"^[A-Z]{2}[0-9]{5}[A-Z]\z") | v.rlike(r"^(IP|RS|SP)([0-9]{4}[A-Z]{2}|[0-9]{3}[A-Z]{3}|[0-9]{2}[A-Z]{4}|[0-9][A-Z]{5})\z") | v.rlike(r"^IPIP([0-9]{3}[A-Z]|[0-9]{4})\z"), v)
+        .when(v.rlike(SHORT_NUMBER), F.concat(F.substring(v, 1, 2), F.lpad(F.regexp_replace(F.substring(v, 3, 8), "^0+", ""), 6, "0")))
+        # societies: eight characters, of which a prefix, figures and then letters
+        .when(v.rlike(SCOTTISH_FORM) | v.rlike(DOUBLE_PREFIX) | ((F.length(v) == 8) & v.rlike(SOCIETY_PREFIX) & v.rlike(SOCIETY_REST)), v)
     )
 
 

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 
 def ready_to_checkpoint(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """Use the shared folder that the cluster names in spark.checkpoint.dir; where it is unset, a folder of our own on a single machine, and an error on a cluster."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

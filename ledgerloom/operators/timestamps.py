@@ -168,21 +168,22 @@ def choose_zones(violations: DataFrame, zones: Sequence[str], least_gain: float
     return violations.withColumn("_b", best).withColumn("zone", F.when(gain, F.element_at(names, F.col("_b.i") + 1)).otherwise(F.lit(zones[0]))).drop("_b")
 
 
-def normalise_moments(df: DataFrame, text: str, group: Sequence[str], arrival: str, prior: str = DEFAULT_ZONE, candidates: Sequence[str] = CANDIDATE_ZONES, least_gain: float = 0.5, bound: int = 10_000) -> DataFrame:
+def normalise_moments(df: DataFrame, text: str, group: Sequence[str], arrival: str, prior: str = DEFAULT_ZONE, candidates: Sequence[str] = CANDIDATE_ZONES, least_gain: float = 0.5, bound: int = 10_000, sequence: str | None = None) -> DataFrame:
     """``df`` with ``utc_micros`` (bigint) and ``zone_used``.
 
     Texts that fix their moment keep it.  A stated region is applied as it is.  Other clock times and spreadsheet
-    numbers take the history chosen for their group.  NULL, blank or unreadable texts, days without a time, impossible
+    numbers take the history chosen for their group, by their ``arrival`` and, where ``sequence`` names a moment column that a line
+    can't precede (such as that of the line before it), by their order.  NULL, blank or unreadable texts, days without a time, impossible
     days and clock times that never occurred give NULL; repeated rows stay repeated; an empty table stays empty; columns
     of other names are untouched, those named utc_micros or zone_used are replaced.  A group whose key is NULL is a group of its own.
     """
     zones = [prior, *[z for z in candidates if z != prior]]
     keys = [f"_g{i}" for i in range(len(group))]
     # the row travels as one struct, so that no helper column can clash with one of its own
-    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"), F.col(f"`{arrival}`").alias("_arrival"), *[F.coalesce(F.col(f"`{g}`").cast("string"), F.lit("\u0000")).alias(k) for g, k in zip(group, keys, strict=True)])
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"), F.col(f"`{arrival}`").alias("_arrival"), (F.col(f"`{sequence}`") if sequence else F.lit(None).cast("timestamp")).alias("_sequence"), *[F.coalesce(F.col(f"`{g}`").cast("string"), F.lit("\u0000")).alias(k) for g, k in zip(group, keys, strict=True)])
     # read twice, parsed once
     parsed = parse_moments(held, "_text").persist(StorageLevel.MEMORY_AND_DISK)
-    chosen = choose_zones(zone_violations(parsed, keys, "_arrival", zones), zones, least_gain).where(F.col("zone") != prior).select(*keys, F.col("zone").alias("_zone"))
+    chosen = choose_zones(zone_violations(parsed, keys, "_arrival", zones, "_sequence" if sequence else None), zones, least_gain).where(F.col("zone") != prior).select(*keys, F.col("zone").alias("_zone"))
     exceptions = chosen.limit(bound + 1).collect()
     if not exceptions:
         parsed = parsed.withColumn("_zone", F.lit(prior))

@@ -45,3 +45,12 @@ def test_history_is_estimated_from_arrival(spark):
     v = zone_violations(parse_moments(df, "t"), ["g"], "seen", zones)
     assert {r["g"]: (r["v0"], r["v1"]) for r in v.collect()} == {"paris": (20, 0), "london": (0, 0)}
     assert {r["g"]: r["zone"] for r in choose_zones(v, zones, least_gain=1.0).collect()} == {"paris": "Europe/London", "london": "Europe/London"}
+
+
+def test_history_is_estimated_from_order(spark):
+    # lines that follow a moment known from elsewhere by less than the zones' difference fix the history too
+    rows = [(k, f"2024-01-{k + 1:02d} 12:00:00", "athens", None, datetime(2024, 1, k + 1, 9, 30), "") for k in range(20)] + [(k, f"2024-01-{k - 19:02d} 12:00:00", "london", None, datetime(2024, 1, k - 19, 11, 30), "") for k in range(20, 40)]
+    df = spark.createDataFrame(rows, "id int, t string, g string, seen timestamp, after timestamp, x string")
+    use = lambda **kw: {(r["g"], r["zone_used"]) for r in normalise_moments(df, "t", ["g"], "seen", **kw).collect()}
+    assert use(prior="Europe/Athens", candidates=["Europe/London"], sequence="after") == {("athens", "Europe/Athens"), ("london", "Europe/London")}
+    assert use(prior="Europe/Athens", candidates=["Europe/London"]) == {("athens", "Europe/Athens"), ("london", "Europe/Athens")}
