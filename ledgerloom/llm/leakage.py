@@ -24,6 +24,8 @@ MASKS = ((0, 1, 3, 5, 6, 7, 8, 10), (0, 1, 4, 5, 7, 8, 9, 10), (0, 1, 2, 3, 4, 5
 LEAST_WORDS, PER_CHANGE = 20, 10
 #: Items that are matched in one pass over the documents; more items take more passes.
 ITEMS_PER_PASS = 20_000
+#: Characters of the items of one pass, if these come first.
+ITEM_CHARS_PER_PASS = 20_000_000
 
 _NOISE = re.compile(r"[^\w\s]+|_+")
 
@@ -40,12 +42,11 @@ def longest_passage(same: np.ndarray, least: int = LEAST_WORDS, per_change: int
         return 0
     # position j ends a good run from i if cost[j] <= cost[i], with cost rising by per_change - 1 per change, falling by 1 per match
     cost = np.concatenate([[0], np.cumsum(np.where(same, -1, per_change - 1))])
-    best = 0
-    for i in range(n - least + 1):
-        good = np.flatnonzero(cost[i + least :] <= cost[i])
-        if len(good):
-            best = max(best, int(good[-1]) + least)
-    return best
+    # the last such j is the last place from which on the least cost is that low
+    rest = np.minimum.accumulate(cost[::-1])[::-1]
+    i = np.arange(n - least + 1)
+    longest = int((np.searchsorted(rest, cost[i], side="right") - 1 - i).max())
+    return longest if longest >= least else 0
 
 
 class ItemIndex:
@@ -107,7 +108,7 @@ class ItemIndex:
 def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, words): each document that holds at least twenty consecutive words of an item, one in ten changed.
 
-    The items are a stated query set: they are read in blocks of ``ITEMS_PER_PASS``, each matched against all documents
+    The items are a stated query set: they are read in blocks of ``ITEMS_PER_PASS`` or ``ITEM_CHARS_PER_PASS``, each matched against all documents
     in one pass without a shuffle.  Every repeated document counts; NULL, empty and shorter texts and items match
     nothing; texts of any length are searched whole; items with equal texts are each reported; repeated item rows once.
     """
@@ -115,7 +116,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id"
     rows = documents.select(F.col(f"`{doc_key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
     kinds = rows.schema["key"].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"`{doc_key}` {kinds[0]}, `{item_key}` {kinds[1]}, words int"
-    out, block = None, []
+    out, block, size = None, [], 0
 
     def matched(block: list[tuple[int, str]]) -> DataFrame:
         held = spark.sparkContext.broadcast(block)
@@ -136,8 +137,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id"
 
     for item in items.select(item_key, text).where(F.col(text).isNotNull()).distinct().toLocalIterator():
         block.append((item[0], item[1]))
-        if len(block) == ITEMS_PER_PASS:
-            out, block = matched(block) if out is None else out.unionByName(matched(block)), []
+        size += len(item[1])
+        if len(block) >= ITEMS_PER_PASS or size >= ITEM_CHARS_PER_PASS:
+            out, block, size = matched(block) if out is None else out.unionByName(matched(block)), [], 0
     if block or out is None:
         out = matched(block) if out is None else out.unionByName(matched(block))
     return out
