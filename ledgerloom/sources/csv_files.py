@@ -31,11 +31,21 @@ class Landed:
 
 
 def encodings(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """The encoding of each file by its first three bytes; one short entry per file comes to the driver."""
-    if not paths:
-        return {}
-    marks = spark.read.format("binaryFile").load(list(paths)).select("path", F.hex(F.substring("content", 1, 3)).alias("mark"))
-    return {r["path"]: "UTF-8" if r["mark"] == "EFBBBF" else "windows-1252" for r in marks.collect()}
+    """The encoding of each file by its first three bytes, which is all that is read of it; folders and patterns stand for their files."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), {}
+    for p in paths:
+        pattern = jvm.org.apache.hadoop.fs.Path(p)
+        fs = pattern.getFileSystem(conf)
+        found = list(fs.globStatus(pattern) or [])
+        if not found:
+            raise FileNotFoundError(p)
+        inside = [f for s in found if s.isDirectory() for f in fs.listStatus(s.getPath()) if f.isFile() and f.getPath().getName()[0] not in "._"]
+        for f in (*[s for s in found if s.isFile()], *inside):
+            stream = fs.open(f.getPath())
+            mark = bytes(x for x in (stream.read() for _ in range(3)) if x >= 0)
+            stream.close()
+            out[f.getPath().toString()] = "UTF-8" if mark == b"\xef\xbb\xbf" else "windows-1252"
+    return out
 
 
 def records(spark: SparkSession, paths: Sequence[str], widest: int = WIDEST) -> DataFrame:
