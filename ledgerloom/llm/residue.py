@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: Hashed cells of the model; the driver holds two numbers for each.
 CELL_BITS = 18
 CELLS = 1 << CELL_BITS
-ROUNDS = 6
+ROUNDS = 4
 #: Log odds from which a passage is residue: more likely than not.
 LEAST_ODDS = 0.0
 #: Words of a passage that are scored together; a passage is as bad as its worst stretch.
@@ -266,12 +266,13 @@ def fit(wordings: DataFrame, rounds: int = ROUNDS) -> Model:
         def expect(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             pos, neg, passages = np.zeros(CELLS + 1), np.zeros(CELLS + 1), np.zeros(2)
             for batch in batches:
-                raw = batch.column(0).to_pylist()
-                codes, sizes = np.frombuffer(b"".join(raw), dtype=np.uint32), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-                begins, share = np.cumsum(sizes) - sizes, np.array(batch.column(1).to_pylist(), dtype=float)
+                column = batch.column(0)
+                ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+                codes, sizes = np.frombuffer(column.buffers()[2], dtype=np.uint32, count=(ends[-1] - ends[0]) // 4, offset=ends[0]), np.diff(ends) // 4
+                begins, share = np.cumsum(sizes) - sizes, batch.column(1).to_numpy(zero_copy_only=False).astype(float)
                 if held.value is not None:
                     share = np.maximum(share, 1 / (1 + np.exp(-np.clip(held.value.whole(codes, begins), -500, 500))))
-                n = np.array(batch.column(2).to_pylist(), dtype=float)
+                n = batch.column(2).to_numpy().astype(float)
                 passages += (n * share).sum(), (n * (1 - share)).sum()
                 up, down = np.repeat(n * share, sizes), np.repeat(n * (1 - share), sizes)
                 for cell, counts, _ in cells_of(codes, begins):
