@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 # Legal forms by the way they are written, titles, nicknames and letters typed as figures.
 LEGAL_FORMS = {
@@ -78,28 +80,50 @@ def shorter_by_one(word: str) -> set[str]:
     return {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))}
 
 
+@lru_cache(maxsize=1 << 15)
+def letters(text: str) -> Counter[str]:
+    """How often a text holds each letter."""
+    return Counter(text)
+
+
 def damerau(a: str, b: str, cap: int = 9) -> int:
-    """Edit distance with swaps of neighbouring letters counted once (the unrestricted, metric form)."""
+    """Edit distance with swaps of neighbouring letters counted once (the unrestricted, metric form), or ``cap`` + 1 if it is more.
+
+    Only places that differ by at most ``cap`` are looked at, so the cost grows with the length of the texts, not its square.
+    """
+    n, m, far = len(a), len(b), cap + 1
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > cap:
-        return cap + 1
-    top = len(a) + len(b)
+    if abs(n - m) > cap:
+        return far
+    # an edit takes away at most one letter that the other text lacks
+    mine, other = letters(a), letters(b)
+    if max((mine - other).total(), (other - mine).total()) > cap:
+        return far
+    width = 2 * cap + 1
+    # row i holds the distances of a[:i] to b[:j] for j from i - cap to i + cap
+    rows = [[min(far, max(j, 0)) if j >= 0 else far for j in range(-cap, cap + 1)]]
+    at = lambda i, j: rows[i][j - i + cap] if 0 <= j - i + cap < width else far
     seen: dict[str, int] = {}
-    d = [[top] * (len(b) + 2) for _ in range(len(a) + 2)]
-    for i in range(len(a) + 1):
-        d[i + 1][1] = i
-    for j in range(len(b) + 1):
-        d[1][j + 1] = j
     for i, x in enumerate(a, 1):
-        last = 0
-        for j, y in enumerate(b, 1):
-            k, l = seen.get(y, 0), last
+        row = [far] * width
+        rows.append(row)
+        low = max(1, i - cap)
+        if i <= cap:
+            row[cap - i] = i
+        # the last place of this letter in b before the places at hand, if near enough to matter
+        last = b.rfind(x, max(0, low - 2 - cap), low - 1) + 1
+        for j in range(low, min(m, i + cap) + 1):
+            y = b[j - 1]
+            best = min(at(i - 1, j - 1) + (x != y), at(i - 1, j) + 1, at(i, j - 1) + 1)
+            k = seen.get(y, 0)
+            if k and last:
+                best = min(best, at(k - 1, last - 1) + i - k + j - last - 1)
             if x == y:
                 last = j
-            d[i + 1][j + 1] = min(d[i][j] + (x != y), d[i + 1][j] + 1, d[i][j + 1] + 1, d[k][l] + i - k - 1 + 1 + j - l - 1)
+            row[j - i + cap] = min(best, far)
         seen[x] = i
-    return d[-1][-1]
+    return at(n, m)
 
 
 def shortens(short: str, word: str) -> bool:
@@ -343,7 +367,7 @@ def same_payee(a: Name, b: Name, common: dict[str, int]) -> int:
     if a.cut or b.cut:
         for short, long in ((a, b), (b, a)):
             one, other = "".join(short.core), "".join(long.core)
-            if short.cut and len(one) >= 8 and (other.startswith(one[:-1]) or (10 <= len(one) <= 60 and damerau(one, other[: len(one)], 2) <= 1)):
+            if short.cut and len(one) >= 8 and (other.startswith(one[:-1]) or (len(one) >= 10 and damerau(one, other[: len(one)], 2) <= 1)):
                 return 1
             if short.cut and len(short.core) > 1 and _cut_words(short.core, long.core):
                 return 1
@@ -374,7 +398,7 @@ def _slip(w: str, v: str, common: dict[str, int]) -> int:
     least, most = min(len(w), len(v)), max(len(w), len(v))
     if least >= 4 and within_one(w, v):
         return 1
-    if 8 <= least and most <= 60 and damerau(w, v, 2) <= 2:
+    if least >= 8 and damerau(w, v, 2) <= 2:
         return 2
     if least <= 9 and ((v in common and shortens(w, v)) or (w in common and shortens(v, w))):
         return 1
