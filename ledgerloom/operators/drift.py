@@ -60,7 +60,7 @@ def file_fields(headers: DataFrame, headings: Mapping[str, Sequence[str]] = FIEL
         return listed
     columns = headers.select("source_file", key.alias("heading"), "header_text", "col_pos").where(F.try_element_at(fields, key).isNull())
     learnt = learnt_headings(columns, listed.where("heading IS NOT NULL").select("source_file", "field").distinct(), filled)
-    both = listed.join(learnt.select("source_file", "field", F.col("heading").alias("_h"), F.col("heading_text").alias("_t")), ["source_file", "field"], "left")
+    both = listed.join(learnt.select("source_file", "field", F.col("heading").alias("_h"), F.col("heading_text").alias("_t")).hint("merge"), ["source_file", "field"], "left")
     return both.select("source_file", "unit_code", "period", "field", F.coalesce("heading", "_h").alias("heading"), F.coalesce("heading_text", "_t").alias("heading_text"))
 
 
@@ -70,18 +70,18 @@ def learnt_headings(columns: DataFrame, listed: DataFrame, filled: DataFrame) ->
     A heading of ``columns`` (source_file, heading, header_text, col_pos) can feed a field if every file that has it holds values of
     the field and none of them has a listed heading for it (``listed``: source_file, field).  Of several in a file, the one
     wins that most often is the only one, then the one of most files, then the smallest.  All tables have one row per file and
-    heading at most; data rows were counted before.
+    heading at most; data rows were counted before.  They grow with the files, so none is broadcast.
     """
     own = columns.groupBy("source_file", "heading").agg(F.min(F.struct("col_pos", "header_text")).alias("_c")).select("source_file", "heading", F.col("_c.header_text").alias("heading_text"))
     files = own.groupBy("heading").agg(F.count(F.lit(1)).alias("n"))
-    open_ = filled.select("source_file", "field").distinct().join(listed, ["source_file", "field"], "left_anti")
-    seen = own.join(open_, "source_file")
-    pure = seen.groupBy("heading", "field").agg(F.count(F.lit(1)).alias("m")).join(files, "heading").where("m = n").select("heading", "field", "n")
-    able = seen.join(pure, ["heading", "field"])
+    open_ = filled.select("source_file", "field").distinct().join(listed.hint("merge"), ["source_file", "field"], "left_anti")
+    seen = own.join(open_.hint("merge"), "source_file")
+    pure = seen.groupBy("heading", "field").agg(F.count(F.lit(1)).alias("m")).join(files.hint("merge"), "heading").where("m = n").select("heading", "field", "n")
+    able = seen.join(pure.hint("merge"), ["heading", "field"])
     rivals = able.groupBy("source_file", "field").agg(F.count(F.lit(1)).alias("rivals"))
-    alone = able.join(rivals, ["source_file", "field"]).groupBy("heading", "field").agg(F.count_if(F.col("rivals") == 1).alias("alone"))
+    alone = able.join(rivals.hint("merge"), ["source_file", "field"]).groupBy("heading", "field").agg(F.count_if(F.col("rivals") == 1).alias("alone"))
     best = F.min(F.struct((-F.col("alone")).alias("a"), (-F.col("n")).alias("b"), "heading", "heading_text"))
-    return able.join(alone, ["heading", "field"]).groupBy("source_file", "field").agg(best.alias("_b")).select("source_file", "field", "_b.heading", "_b.heading_text")
+    return able.join(alone.hint("merge"), ["heading", "field"]).groupBy("source_file", "field").agg(best.alias("_b")).select("source_file", "field", "_b.heading", "_b.heading_text")
 
 
 def drift_report(headers: DataFrame, rows: DataFrame, file: str = "_source_file", headings: Mapping[str, Sequence[str]] = FIELD_HEADINGS) -> DataFrame:
@@ -95,7 +95,7 @@ def drift_report(headers: DataFrame, rows: DataFrame, file: str = "_source_file"
     """
     stats = path_types(rows, file, list(headings)).groupBy("file", "path").agg(F.sum(F.when(F.col("raw_type") == "number", F.col("n")).otherwise(0)).alias("numbers"), F.sum("n").alias("n"))
     typed = cut(stats.select(F.col("file").alias("source_file"), F.col("path").alias("field"), (F.col("numbers") * 2 > F.col("n")).alias("numeric")))
-    fields = file_fields(headers.where("unit_code IS NOT NULL AND period IS NOT NULL"), headings, typed).join(typed, ["source_file", "field"], "left")
+    fields = file_fields(headers.where("unit_code IS NOT NULL AND period IS NOT NULL"), headings, typed).join(typed.hint("merge"), ["source_file", "field"], "left")
     before = Window.partitionBy("unit_code", "field").orderBy("period", "source_file")
     pairs = fields.select(
         "source_file", "field", "heading", "heading_text", "numeric", F.row_number().over(before).alias("_k"),
