@@ -1,9 +1,8 @@
-"""One surviving record per duplicate group, by token-level consensus.
+"""One surviving record per duplicate group, by a stated order or by token-level consensus.
 
-The values of a group's field are aligned progressively, heaviest first; every column of the alignment is decided by the
-weights of its tokens, and the existing value closest to that consensus survives.  In ``best_records`` a value's weight
-follows from its rank in the stated order (votes, then day, then text), each rank outweighing all below it together; in
-``consensus_names`` weights are counts, so many light spellings can outvote a heavy one token by token.
+In ``best_records`` the order of whole values (votes, then day, then text) decides alone.  In ``consensus_names`` the spellings
+of a group are aligned progressively, heaviest first; every column of the alignment is decided by the weights of its tokens, and
+the existing spelling closest to that consensus survives, so many light spellings can outvote a heavy one token by token.
 """
 
 from __future__ import annotations
@@ -138,7 +137,8 @@ def in_parts(level: DataFrame, keys: list[str], fields: list[str], value: str, m
 def closest_to_consensus(entries: list[tuple]) -> tuple:
     """Of entries (-votes, -day, value, tokens) in order, the one whose tokens are closest to the consensus; the first on a tie.
 
-    An entry's weight is a quarter of that of the one before it, so that it outweighs all behind it together.
+    An entry's weight is a quarter of that of the one before it, so that it outweighs all behind it together; the first therefore
+    always wins.  No query runs this: it shows that a consensus under the ranks of ``best_records`` is its rule.
     """
     if len({e[3] for e in entries}) == 1:
         return entries[0]
@@ -151,9 +151,9 @@ def best_records(records: DataFrame) -> DataFrame:
 
     Spellings that name somebody are ranked by the sum of their rows_n (NULL is 0), then the latest last_payment (NULL is
     earliest), then the smallest text; well-formed postcodes by the latest last_payment, then the rows_n there, then the smallest
-    text.  Each survivor is the value closest to its field's consensus under these ranks; the name is NULL if no spelling names
-    somebody, the postcode '' if none is well-formed.  Identical rows count once, a NULL key is no group.  Values are
-    counted before their keys are brought together, and a group of any size is merged in parts.
+    text.  Each survivor is the first of its field; the name is NULL if no spelling names somebody, the postcode '' if none is
+    well-formed.  Identical rows count once, a NULL key is no group.  Values are counted before their keys are brought together,
+    and the first of a group is taken in part before it is gathered.
     """
     columns = ["supplier_key", "supplier_name_raw", "rows_n", "last_payment", "postcode", *[c for c in ("entity", "company_number") if c in records.columns]]
     rows = records.where("supplier_key IS NOT NULL").select(*columns).distinct()
@@ -163,8 +163,8 @@ def best_records(records: DataFrame) -> DataFrame:
     name = F.col("supplier_name_raw")
     names = counted.where(names_somebody(name)).groupBy("supplier_key", name.alias("value")).agg(F.sum("votes").alias("first"), F.max("day").alias("second"))
     codes = counted.where("code IS NOT NULL").groupBy("supplier_key", F.col("code").alias("value")).agg(F.max("last").alias("l")).select("supplier_key", "value", F.col("l.day").alias("first"), F.col("l.votes").alias("second"))
-    level = names.withColumn("field", F.lit("name")).unionByName(codes.withColumn("field", F.lit("code"))).select("supplier_key", "field", (-F.col("first")).alias("a"), (-F.col("second")).alias("b"), "value", tokens_of(F.col("value")).alias("tokens"))
-    best = in_parts(level, ["supplier_key", "field"], ["a", "b", "value", "tokens"], "value", closest_to_consensus)
+    level = names.withColumn("field", F.lit("name")).unionByName(codes.withColumn("field", F.lit("code"))).select("supplier_key", "field", (-F.col("first")).alias("a"), (-F.col("second")).alias("b"), "value")
+    best = level.groupBy("supplier_key", "field").agg(F.min(F.struct("a", "b", "value")).alias("f")).select("supplier_key", "field", "f.value")
     size = counted.groupBy("supplier_key").agg(F.sum("n").alias("n"))
     both = best.select("supplier_key", "field", "value", F.lit(0).cast("bigint").alias("n")).unionByName(size.select("supplier_key", F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"), "n"))
     of = lambda f: F.max(F.when(F.col("field") == f, F.col("value")))

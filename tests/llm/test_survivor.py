@@ -69,3 +69,18 @@ def test_ranks_decide_token_by_token():
     entries = [(-9, 0, "Acme Taxis", "ACME TAXIS"), (-8, 0, "Acme West Taxis", "ACME WEST TAXIS"), (-8, 0, "Acme West Taxi", "ACME WEST TAXI")]
     assert S.closest_to_consensus(entries) == entries[0]
     assert S.closest_to_consensus([(-1, 0, f"N{k} Ltd", f"N{k} LTD") for k in range(300)])[2] == "N0 Ltd"
+
+
+def test_order_alone_decides_best_records(spark):
+    """The order of whole values fixes p5_found, so no consensus runs there; in consensus_names the consensus changes the survivor."""
+    rows = [("k", "Acme Taxis", 5, None, "AB1 2CD", "e", None, "x"), ("k", "Acme West Taxis", 3, None, None, "e", None, "x"), ("k", "ACME WEST TAXIS.", 3, None, None, "f", None, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    best = S.best_records(df)
+    assert [tuple(r) for r in best.collect()] == [("k", "Acme Taxis", "AB1 2CD")]
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "Aggregate" in plan
+    assert [tuple(r) for r in S.consensus_names(df).collect()] == [("k", "ACME WEST TAXIS", "ACME WEST TAXIS.")]
+    random.seed(3)
+    for _ in range(500):
+        entries = sorted({(-random.randint(0, 3), 0, v, v) for _ in range(6) if (v := " ".join(random.choices(["ACME", "ACMS", "WEST", "LTD", "TAXIS"], k=random.randint(1, 4))))})
+        assert S.closest_to_consensus(entries) == entries[0]
